@@ -41,7 +41,7 @@ MONTHS = (
     ("jul", "июл"), ("aug", "авг"), ("sep", "сен"), ("oct", "окт"), ("nov", "ноя"), ("dec", "дек"),
 )
 
-_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\.?)?"
+_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\.?(?![A-Za-z]))?"
 _ZONE = r"\s*((?:UTC|GMT|UT)?\s*[+-]\d{1,2}(?::?\d{2})?(?:\s*\[[\w/+-]+\])?|[A-Z]{1,5}|[A-Za-z]+(?:/[A-Za-z_+-]+\d*)+)?"
 _NAME = r"([A-Za-zА-Яа-яЁё]{3,})\.?"
 #: (format, pattern, replacement); the replacement lists year|month|day|hour|minute|second|fraction|half|zone.
