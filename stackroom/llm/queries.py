@@ -5,11 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackroom.llm import canonical as CA
 from stackroom.llm import cooccurrence as CO
+from stackroom.llm import leakage as LE
 from stackroom.llm import setjoin as SJ
+from stackroom.operators.thesaurus import current_terms
+from stackroom.skew import lookup
 from stackroom.tables import current_articles, table
 
 
+def _free_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct (record, tag) whose tag isn't exactly a term or canonical of any thesaurus row."""
+    tags = table(spark, d, "tagging_suggestions").select("suggestion_id", F.explode("existing_tags").alias("tag")).where("tag IS NOT NULL AND suggestion_id IS NOT NULL").distinct()
+    rows = table(spark, d, "thesaurus")
+    exact = rows.select(F.col("term").alias("tag")).unionByName(rows.select(F.col("canonical").alias("tag"))).where("tag IS NOT NULL").distinct()
+    return tags.join(exact, "tag", "left_anti")
+
+
+def _mapped_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Each free tag value once, with the curated term it denotes or -1."""
+    cur = current_terms(table(spark, d, "thesaurus")).where("origin = 'curated'")
+    names = cur.select("term_id", F.explode(F.concat(F.array("term", "canonical"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("name"))
+    return CA.map_values(_free_tags(spark, d), "tag", names, "term_id", "name")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    got = _mapped_tags(spark, d).select(F.col("value").alias("tag"), F.col("entry_id").alias("term_id"))
+    return lookup(_free_tags(spark, d), got, "tag", "inner").select("suggestion_id", "tag", "term_id")
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that denote no curated term, with the number of records that hold them."""
+    none = _mapped_tags(spark, d).where("entry_id = -1").select(F.col("value").alias("tag"))
+    return lookup(_free_tags(spark, d), none, "tag", "inner").groupBy("tag").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def _article_tags(spark: SparkSession, d: str) -> DataFrame:
     return current_articles(table(spark, d, "orphans_analysis"), F.col("metadata.frontmatter.tags").alias("tags")).select(
         F.col("record_id").alias("id"), CO.item_set(F.col("tags")).alias("items")
@@ -41,5 +71,28 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     return SJ.links(SJ.similar_sets(reps, "0.8"), reps, members)
 
 
-QUERIES = {"p4_found": p4_found, "p4_cooccurrence": p4_cooccurrence, "p5_found": p5_found, "p5_links": p5_links}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text")
+    return LE.leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where in which document which item stands, and how much of it."""
+    return _leaks(spark, d)
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The affected documents without the leaked spans."""
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text")
+    return LE.cleaned(docs, "doc_id", "text", items, "item_id", "text").where("n_removed > 0")
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_cooccurrence": p4_cooccurrence, "p5_found": p5_found, "p5_links": p5_links,
+    "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned,
+}
 SQL: dict[str, str] = {}
