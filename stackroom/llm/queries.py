@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stackroom.llm import canonical as CA
 from stackroom.llm import cooccurrence as CO
 from stackroom.llm import leakage as LE
+from stackroom.llm import packing as PA
+from stackroom.llm import reading as RE
 from stackroom.llm import setjoin as SJ
 from stackroom.operators.thesaurus import current_terms
 from stackroom.skew import lookup
@@ -91,8 +93,37 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return LE.cleaned(docs, "doc_id", "text", items, "item_id", "text").where("n_removed > 0")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return PA.pack(PA.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces with their container and place in it."""
+    return _packed(spark, d)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Number of containers by unused room."""
+    return PA.containers(_packed(spark, d)).groupBy("unused").agg(F.count(F.lit(1)).alias("n_containers"))
+
+
+def _reading(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return RE.reading_levels(docs, "doc_id", "text", table(spark, d, "reading_labels"), "doc_id", "reading_level")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _reading(spark, d).select("doc_id", "reading_level")
+
+
+def p9_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and mean vocabulary rank by language and level."""
+    at = RE.FEATURES.index("log_r95")
+    return _reading(spark, d).groupBy("lang", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.exp(F.col("x")[at])).alias("mean_rank_95"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_cooccurrence": p4_cooccurrence, "p5_found": p5_found, "p5_links": p5_links,
-    "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned,
+    "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_profile": p9_profile,
 }
 SQL: dict[str, str] = {}
