@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackroom.functions.text import let
 from stackroom.operators.thesaurus import SPACE
 from stackroom.session import cut
 
@@ -95,11 +96,6 @@ def _offset_ms(z: Column) -> Column:
     return F.when(z.rlike(p) & (h <= 18) & (mi < 60), v).cast("long")
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once, however often use names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _numbers(parts: Column) -> Column:
     """format|year|month|day|hour|minute|second|fraction|half|zone as numbers."""
     at = lambda i: F.element_at(parts, i + 1)
@@ -178,12 +174,12 @@ def readings(value: Column, zone: Column, known_zones: list[str], plain: bool =
     shaped = lambda v: F.filter(
         F.array(*[F.when(v.rlike(p), F.concat(F.lit(f"{f}|"), F.regexp_replace(v, p, order))) for f, p, order in SHAPES]), lambda x: x.isNotNull()
     )
-    each = lambda line: _let(
-        F.split(line, r"\|"), lambda parts: _let(_numbers(parts), lambda t: _let(_local_ms(t), lambda u: _instants(u, own, known_zones)))
+    each = lambda line: let(
+        F.split(line, r"\|"), lambda parts: let(_numbers(parts), lambda t: let(_local_ms(t), lambda u: _instants(u, own, known_zones)))
     )
     empty = F.array().cast(READINGS)
     skip = lambda v: v.isNull() if plain else v.isNull() | v.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    got = _let(
+    got = let(
         F.regexp_replace(F.regexp_replace(value, rf"^{SPACE}+|{SPACE}+$", ""), rf"{SPACE}+", " "),
         lambda v: F.when(skip(v), empty).otherwise(F.concat(_epochs(v), F.flatten(F.transform(shaped(v), each)))),
     )
