@@ -86,8 +86,9 @@ def _dated(spark: SparkSession, d: str) -> DataFrame:
         F.flatten(F.transform("invalid_fields.date", S.quoted)).alias("values"), F.lit(None).cast("string").alias("zone"),
     )
     rows = rc.unionByName(oa).unionByName(mv).where("src_id IS NOT NULL").distinct()
-    v = rows.select("src_table", "src_id", "source", "zone", F.posexplode("values").alias("pos", "value"))
-    v = v.withColumn("c", S.readings(F.col("value"), F.col("zone"), zones)).where(F.size("c") > 0)
+    # exploding the readings themselves, a filter on them doesn't compute them a second time
+    each = F.transform("values", lambda x: S.readings(x, F.col("zone"), zones))
+    v = rows.select("src_table", "src_id", "source", F.posexplode(each).alias("pos", "c")).where(F.size("c") > 0)
     # of several quoted texts the first that is a date counts
     return v.groupBy("src_table", "src_id").agg(F.min(F.struct("pos", "source", "c")).alias("r")).select(
         "src_table", "src_id", F.concat_ws("/", "src_table", "r.source").alias("source"), F.col("r.c").alias("c")
