@@ -20,7 +20,7 @@ art AS (SELECT record_id AS id, path, metadata.frontmatter.title AS title, coale
 coalesce(nullif(trim(lower(metadata.frontmatter.status)), ''), 'draft') AS status, coalesce(metadata.frontmatter.source, 'unknown') AS author, coalesce(nullif(trim(lower(metadata.frontmatter.difficulty)), ''), 'unknown') AS difficulty,
 coalesce(list_sort(list_distinct(list_filter(list_transform(metadata.frontmatter.tags, lambda t: trim(lower(t), ' ')), lambda t: t IS NOT NULL AND t <> ''))), []) AS tags, len(coalesce(metadata.frontmatter.related, [])) AS n_related,
 metadata.frontmatter.word_count AS words, metadata.frontmatter.quality_score AS quality, metadata.frontmatter.pagerank AS pagerank, metadata.frontmatter.pagerank_inlinks AS inlinks, metadata.frontmatter.pagerank_outlinks AS outlinks,
-metadata.frontmatter.difficulty_score AS difficulty_score, metadata.frontmatter.quality_metrics AS qm, metadata.content_length AS chars, metadata.modified_date AS modified, metadata.age_days AS age, loaded_at,
+metadata.frontmatter.difficulty_score AS difficulty_score, metadata.frontmatter.quality_metrics AS qm, metadata.content_length AS chars, (metadata.modified_date AT TIME ZONE 'UTC') AS modified, metadata.age_days AS age, loaded_at,
 classification.type AS orphan_type, classification.severity AS severity FROM cur)"""
 TAGS = "tg AS (SELECT id, category, words, age, quality, unnest(tags) AS tag FROM art)"
 

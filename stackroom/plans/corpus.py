@@ -382,9 +382,9 @@ def line_duplicates(spark, d):
     return l.groupBy(F.md5("line").alias("line_hash")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("n_docs")).where("n_docs > 1")
 
 
-@query("SELECT source, count(*) AS n, count(DISTINCT coalesce(category, '')) AS n_categories, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 6) AS mean_chars, min(fetched_at) AS first_at, max(fetched_at) AS last_at FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n, count(DISTINCT coalesce(category, '')) AS n_categories, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 6) AS mean_chars, epoch_us(min(fetched_at)) AS first_at, epoch_us(max(fetched_at)) AS last_at FROM documents GROUP BY source")
 def source_stats(spark, d):
     return docs(spark, d).groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(F.coalesce("category", F.lit(""))).alias("n_categories"), F.sum("n_chars").alias("chars"), F.round(F.avg("n_chars"), 6).alias("mean_chars"),
-        F.min("fetched_at").alias("first_at"), F.max("fetched_at").alias("last_at"),
+        F.unix_micros(F.min("fetched_at")).alias("first_at"), F.unix_micros(F.max("fetched_at")).alias("last_at"),
     )
