@@ -325,19 +325,27 @@ SQL_FUNCTIONS = {
 }
 
 
-def register(spark: SparkSession) -> list[str]:
-    """Make the library callable from SQL; returns the names.
+#: SQL bodies of the functions with lambdas, which Spark does not print in a form it can read.
+LAMBDA_SQL = {
+    "sr_acronym": "array_join(transform(filter(split(a0, '\\\\s+'), w -> w <> ''), w -> upper(left(w, 1))), '')",
+    "sr_is_anagram": "array_sort(filter(split(lower(regexp_replace(a0, '\\\\s', '')), ''), c -> c <> '')) = array_sort(filter(split(lower(regexp_replace(a1, '\\\\s', '')), ''), c -> c <> ''))",
+    "sr_positional_similarity": "CASE WHEN greatest(length(a0), length(a1)) = 0 THEN 1D ELSE size(filter(sequence(1, greatest(least(length(a0), length(a1)), 1)), i -> substring(a0, i, 1) <> '' AND substring(a0, i, 1) = substring(a1, i, 1))) / greatest(length(a0), length(a1)) END",
+    "sr_hamming": "CASE WHEN length(a0) = length(a1) THEN size(filter(sequence(1, greatest(length(a0), 1)), i -> substring(a0, i, 1) <> substring(a1, i, 1))) END",
+    "sr_is_prime": "CASE WHEN a0 < 2 THEN false WHEN a0 < 4 THEN true ELSE NOT exists(sequence(2L, CAST(floor(sqrt(a0)) AS BIGINT)), i -> a0 % i = 0) END",
+    "sr_gcd": "aggregate(sequence(1, 90), named_struct('x', abs(a0), 'y', abs(a1)), (p, i) -> named_struct('x', CASE WHEN p.y = 0 THEN p.x ELSE p.y END, 'y', CASE WHEN p.y = 0 THEN 0L ELSE p.x % p.y END), p -> p.x)",
+    "sr_array_mean": "CASE WHEN size(a0) > 0 THEN aggregate(a0, 0D, (t, x) -> t + x) / size(a0) END",
+    "sr_array_median": "transform(array(sort_array(a0)), s -> CASE WHEN size(s) = 0 THEN NULL WHEN size(s) % 2 = 1 THEN element_at(s, int(size(s) / 2) + 1) ELSE (element_at(s, int(size(s) / 2)) + element_at(s, int(size(s) / 2) + 1)) / 2 END)[0]",
+    "sr_array_variance": "transform(array(aggregate(a0, 0D, (t, x) -> t + x) / nullif(size(a0), 0)), m -> aggregate(a0, 0D, (t, x) -> t + (x - m) * (x - m)) / nullif(size(a0), 0))[0]",
+}
 
-    Functions of which Spark can print the expression as SQL become temporary SQL functions.
-    """
-    done = []
+
+def register(spark: SparkSession) -> list[str]:
+    """Make the library callable from SQL as temporary functions; returns their names."""
     for name, (build, types) in SQL_FUNCTIONS.items():
         args = [f"a{i}" for i in range(len(types))]
-        df = spark.range(0).select(*[F.lit(None).cast(t).alias(a) for a, t in zip(args, types)]).select(build(*map(F.col, args)))
-        try:
-            body = df._jdf.queryExecution().logical().expressions().head().sql()
-            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{a} {t}' for a, t in zip(args, types))}) RETURN {body}")
-            done.append(name)
-        except Exception:  # an expression whose SQL form Spark cannot read back
-            continue
-    return done
+        body = LAMBDA_SQL.get(name)
+        if body is None:
+            df = spark.range(0).select(*[F.lit(None).cast(t).alias(a) for a, t in zip(args, types)]).select(build(*map(F.col, args)))
+            body = df._jdf.queryExecution().analyzed().expressions().head().child().sql()
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{a} {t}' for a, t in zip(args, types))}) RETURN {body}")
+    return list(SQL_FUNCTIONS)

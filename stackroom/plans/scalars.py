@@ -112,9 +112,9 @@ def array_outliers(spark, d):
     return e.select("vec_id", F.size(X.array_outliers(F.col("e"))).alias("n_outliers"))
 
 
-@query("""SELECT id, CASE WHEN n < 1024 THEN printf('%.2f', n) || ' B' WHEN n < 1048576 THEN printf('%.2f', n / 1024) || ' KB' ELSE printf('%.2f', n / 1048576) || ' MB' END AS size FROM (SELECT doc_id AS id, n_chars::DOUBLE * 8 AS n FROM documents)""")
+@query("""SELECT id, CASE WHEN n < 1024 THEN printf('%.2f', n) || ' B' WHEN n < 1048576 THEN printf('%.2f', n / 1024) || ' KB' ELSE printf('%.2f', n / 1048576) || ' MB' END AS size FROM (SELECT doc_id AS id, n_chars::DOUBLE * 3.7::DOUBLE AS n FROM documents)""")
 def file_sizes(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.file_size(F.col("n_chars").cast("double") * 8).alias("size"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.file_size(F.col("n_chars").cast("double") * 3.7).alias("size"))
 
 
 @query("""SELECT doc_id, replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents""")
