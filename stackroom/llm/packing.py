@@ -97,8 +97,23 @@ def fit(hist: np.ndarray, pats: list[tuple[int, ...]], rounds: int = 400) -> np.
 
 
 def plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use every item of the histogram exactly once. hist[l] counts length l."""
-    left = hist.astype(np.int64).copy()
+    """(pattern, repeats) that use every item of the histogram exactly once. hist[l] counts length l.
+
+    The fitted repeats are rounded down and kept for patterns that leave at most a share of the
+    room; what share, and whether the rest looks one item ahead, is decided by trying. One try
+    takes no pattern, which is first fit in falling order: the plan is never worse than that.
+    """
+    left = hist.astype(np.int64)
+    lengths = np.flatnonzero(left)
+    if not len(lengths):
+        return []
+    pats = patterns(lengths, capacity)
+    x = fit(left, pats)
+    tries = [_packed(left.copy(), capacity, pats, x, full, ahead) for full in (1.0, 0.995, 2.0) for ahead in (True, False)]
+    return min(tries, key=lambda t: sum(n for _, n in t))
+
+
+def _packed(left: np.ndarray, capacity: int, pats: list, x: np.ndarray, full: float, ahead: bool) -> list[tuple[tuple[int, ...], int]]:
     out = []
 
     def take(p: tuple[int, ...], n: int) -> None:
@@ -106,15 +121,12 @@ def plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
             left[l] -= k * n
         out.append((p, n))
 
-    lengths = np.flatnonzero(left)
-    if len(lengths):
-        pats = patterns(lengths, capacity)
-        x = fit(left, pats)
-        for i in np.argsort(-x, kind="stable"):
-            n = min(int(x[i]), *(int(left[l] // k) for l, k in Counter(pats[i]).items()))
-            # only full containers are taken from the fit; the rest goes by best fit
-            if n > 0 and sum(pats[i]) >= capacity * 0.995:
-                take(pats[i], n)
+    for i in np.argsort(-x, kind="stable"):
+        if x[i] < 1 or sum(pats[i]) < capacity * full:
+            continue
+        n = min(int(x[i]), *(int(left[l] // k) for l, k in Counter(pats[i]).items()))
+        if n > 0:
+            take(pats[i], n)
     while True:
         have = np.flatnonzero(left)
         if not len(have):
@@ -126,12 +138,10 @@ def plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
                 break
             l = int(have[-1])
             # the last two places are chosen together: the pair that leaves the least room
-            if p and len(have) > 1:
-                partner = room - have
-                i = np.searchsorted(have, partner, side="right") - 1
-                ok = (i >= 0) & (have <= room)
-                best = np.where(ok, have + have[np.maximum(i, 0)], have)
-                best = np.where(ok & (have[np.maximum(i, 0)] == have) & (spare[have] < 2), have, best)
+            if ahead and p and len(have) > 1:
+                other = have[np.maximum(np.searchsorted(have, room - have, side="right") - 1, 0)]
+                ok = (other + have <= room) & ((other != have) | (spare[have] > 1))
+                best = np.where(ok, have + other, have)
                 l = int(have[np.argmax(best + have * 1e-9)]) if best.max() > l else l
             p.append(l)
             spare[l] -= 1

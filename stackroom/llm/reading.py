@@ -216,7 +216,7 @@ def calibrate(x: DataFrame, labels: DataFrame, id_col: str, level_col: str) -> d
             qr = np.array([[r[f"q{min(i, h)}_{max(i, h)}"] for h in range(k)] for i in range(k)])
             stats[r["level"]] = (n + r["n"], s + np.array([r[f"s{i}"] for i in range(k)]), q + qr)
         total = sum(n for n, _, _ in stats.values())
-        if lang and (total < 3 * k or len(stats) < 2):
+        if not total or lang and (total < 3 * k or len(stats) < 2):
             continue
         mean = sum(s for _, s, _ in stats.values()) / total
         sd = np.sqrt(np.maximum(sum(q.diagonal() for _, _, q in stats.values()) / total - mean**2, 1e-9))
