@@ -15,8 +15,8 @@ from stackroom.functions import text as T
 
 def sentences(text: Column, least: int = 31) -> Column:
     """Sentences of at least ``least`` letters, heading lines dropped."""
-    plain = F.regexp_replace(text, r"(?m)^#{1,6}[ \t][^\r\n]*", "")
-    return F.filter(F.transform(F.split(plain, r"[.!?]+\s+"), F.trim), lambda s: F.length(s) >= least)
+    plain = F.regexp_replace(text, r"(?dm)^#{1,6}[ \t][^\r\n]*", "")
+    return F.filter(F.transform(F.split(plain, r"[.!?]+\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 def position_score(i: Column, n: Column) -> Column:
