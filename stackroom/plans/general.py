@@ -110,4 +110,31 @@ QUERIES = {
     "p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants,
     "p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts, "p6_found": p6_found, "p6_formats": p6_formats,
 }
-SQL: dict[str, str] = {}
+
+KEY = "trim(regexp_replace(lower(n), '[\\s\\x{A0}_-]+', ' ', 'g'), ' ')"
+WALK = f"""cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY exported_at DESC) AS rn FROM thesaurus) WHERE rn = 1),
+nm AS (SELECT term AS n, term_id, 0 AS rank FROM cur UNION ALL SELECT canonical, term_id, 1 FROM cur UNION ALL SELECT unnest(synonyms), term_id, 2 FROM cur),
+owner AS (SELECT key, arg_min(term_id, (rank, term_id)) AS parent FROM (SELECT {KEY} AS key, term_id, rank FROM nm WHERE n IS NOT NULL) WHERE key <> '' GROUP BY key),
+asked AS (SELECT term_id, {KEY} AS key, pos FROM (SELECT term_id, unnest(broader) AS n, generate_subscripts(broader, 1) AS pos FROM cur) WHERE n IS NOT NULL),
+par AS (SELECT term_id, arg_min(parent, pos) AS parent FROM asked JOIN owner USING (key) GROUP BY term_id),
+walk AS (SELECT term_id, term_id AS node, [term_id] AS seen, false AS looped FROM cur UNION ALL SELECT w.term_id, p.parent, list_append(w.seen, p.parent), list_contains(w.seen, p.parent) FROM walk w JOIN par p ON p.term_id = w.node WHERE NOT w.looped),
+ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY len(seen) DESC) AS r FROM walk) WHERE r = 1)"""
+PLAIN = r"""
+raw AS (SELECT src_table, src_id, base, at_time, regexp_replace(entry, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS raw FROM refs WHERE entry IS NOT NULL),
+txt AS (SELECT *, regexp_replace(replace(url_decode(regexp_replace(raw, '[#?][\s\S]*$', '')), '\', '/'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS t FROM raw
+WHERE NOT regexp_matches(raw, '(?i)^(?:[a-z][a-z0-9+.]+:|www\.)') AND NOT regexp_matches(raw, '^[^/\s@]+@[^/\s@]+\.[^/\s@]+$')),
+steps AS (SELECT *, string_split(CASE WHEN regexp_matches(t, '^(?:/|knowledge/)') THEN t ELSE regexp_replace(base, '[^/]*$', '') || t END, '/') AS p FROM txt WHERE t <> '' AND base IS NOT NULL),
+named AS (SELECT src_table, src_id, at_time, array_to_string(list_reduce(list_transform(p, lambda x: [x]), lambda a, b: CASE WHEN b[1] IN ('', '.') THEN a WHEN b[1] = '..' THEN a[1:len(a) - 1] ELSE list_concat(a, b) END, []), '/') AS target_path FROM steps),
+arts AS (SELECT path AS target_path, arg_max(lower(trim(metadata.frontmatter.status)), loaded_at) AS status, min(loaded_at) AS since FROM orphans_analysis GROUP BY path),
+kinds AS (SELECT n.*, CASE WHEN a.target_path IS NULL THEN 'missing' WHEN status = 'deleted' THEN 'deleted' WHEN since > at_time THEN 'late' END AS kind FROM named n LEFT JOIN arts a USING (target_path) WHERE n.target_path <> '')"""
+REFS = f"""refs AS (SELECT 'orphans_analysis' AS src_table, record_id AS src_id, path AS base, unnest(metadata.frontmatter.related) AS entry, loaded_at AS at_time FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) AS rn FROM orphans_analysis) WHERE rn = 1
+UNION ALL SELECT 'toc_validation_report', report_id, file, coalesce(b.link.url, nullif(regexp_extract(b.reason, '(/?knowledge/[^\\s()]+)', 1), '')), checked_at FROM (SELECT report_id, file, checked_at, unnest(cross_references.broken_links) AS b FROM toc_validation_report)),{PLAIN}"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH RECURSIVE {WALK} SELECT term_id, CASE WHEN looped THEN list_min(seen[list_position(seen, node):]) ELSE node END AS root_id, (CASE WHEN looped THEN -1 ELSE len(seen) - 1 END)::INT AS depth FROM ends",
+    "p1_descendants": f"""WITH RECURSIVE {WALK}, up AS (SELECT w.node AS ancestor_id, w.term_id AS descendant_id, (len(w.seen) - 1)::INT AS steps FROM walk w JOIN ends e USING (term_id) WHERE NOT e.looped AND len(w.seen) > 1)
+SELECT * FROM up WHERE ancestor_id % 100 = 0""",
+    "p2_found": f"WITH {REFS} SELECT DISTINCT src_table, src_id, target_path, kind FROM kinds WHERE kind IS NOT NULL",
+    "p2_orphan_counts": f"""WITH {REFS}, d AS (SELECT DISTINCT src_table, src_id, target_path, kind, at_time FROM kinds WHERE kind IS NOT NULL)
+SELECT src_table, kind, strftime(at_time AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_refs, count(DISTINCT target_path) AS n_targets FROM d GROUP BY ALL""",
+}
