@@ -126,4 +126,17 @@ QUERIES = {
     "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_cooccurrence": p4_cooccurrence, "p5_found": p5_found, "p5_links": p5_links,
     "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_profile": p9_profile,
 }
-SQL: dict[str, str] = {}
+
+SETS = r"""art AS (SELECT record_id AS id, metadata.frontmatter.tags AS t FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) AS rn FROM orphans_analysis) WHERE rn = 1),
+clean AS (SELECT id, list_sort(list_distinct(list_filter(list_transform(coalesce(t, []), lambda x: regexp_replace(lower(x), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')), lambda x: x IS NOT NULL AND x <> ''))) AS items FROM art)"""
+PAIRS = f"""{SETS}, e AS (SELECT id, unnest(items) AS tag FROM clean), n AS (SELECT tag, count(*) AS n FROM e GROUP BY tag), t AS (SELECT count(*) AS total FROM clean WHERE len(items) > 0),
+p AS (SELECT a.tag AS item_a, b.tag AS item_b, count(*) AS n_ab FROM e a JOIN e b ON a.id = b.id AND a.tag < b.tag GROUP BY ALL), x AS (SELECT item_a, item_b, n_ab, na.n AS n_a, nb.n AS n_b, total AS n FROM p JOIN n na ON na.tag = item_a JOIN n nb ON nb.tag = item_b, t
+WHERE n_ab >= 5 AND n_ab * 2000 >= total AND n_ab * total >= 3 * na.n * nb.n)"""
+JOINED = f"""{SETS.replace("WHERE rn = 1)", "WHERE rn = 1 UNION ALL SELECT suggestion_id, existing_tags FROM tagging_suggestions)", 1)}, s AS (SELECT DISTINCT id, items FROM clean WHERE len(items) >= 4), e AS (SELECT id, items, unnest(items) AS tag FROM s),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(DISTINCT a.tag) AS common, len(any_value(a.items)) AS la, len(any_value(b.items)) AS lb FROM e a JOIN e b ON a.tag = b.tag AND a.id < b.id GROUP BY ALL), f AS (SELECT id_a, id_b FROM c WHERE common * 5 >= 4 * (la + lb - common))"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"WITH {PAIRS} SELECT item_a AS tag_a, item_b AS tag_b FROM x",
+    "p4_cooccurrence": f"WITH {PAIRS} SELECT item_a, item_b, n_ab, n_a, n_b, n, n_ab * n / (n_a * n_b) AS lift FROM x",
+    "p5_found": f"WITH {JOINED} SELECT DISTINCT id_a, id_b FROM f",
+}
