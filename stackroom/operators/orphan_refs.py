@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackroom.functions.text import let
 from stackroom.operators.thesaurus import SPACE
+from stackroom.session import materialize
 from stackroom.skew import lookup
 
 
@@ -26,24 +28,20 @@ def plain_path(entry: Column, base: Column) -> Column:
     does a relative entry whose base is null.
     """
     trim = lambda c: F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
-    raw = trim(entry)
-    head = F.regexp_replace(raw, r"[#?][\s\S]*$", "")
-    safe = F.regexp_replace(F.regexp_replace(head, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    outside = lambda raw: raw.rlike(r"(?i)^(?:[a-z][a-z0-9+.]+:|www\.)") | raw.rlike(r"^[^/\s@]+@[^/\s@]+\.[^/\s@]+$")
     # try_url_decode gives null where the bytes are no UTF-8: such text is taken literally
-    text = trim(F.regexp_replace(F.coalesce(F.try_url_decode(safe), head), r"\\", "/"))
-    outside = raw.rlike(r"(?i)^(?:[a-z][a-z0-9+.]+:|www\.)") | raw.rlike(r"^[^/\s@]+@[^/\s@]+\.[^/\s@]+$")
-    rooted = text.rlike(r"^(?:/|knowledge/)")
-    folder = F.regexp_replace(F.regexp_replace(base, r"\\", "/"), r"[^/]*$", "")
-    full = F.when(rooted, text).otherwise(F.concat(folder, text))
-    steps = F.aggregate(
+    decoded = lambda head: F.when(head.contains("%"), F.coalesce(F.try_url_decode(F.replace(F.regexp_replace(head, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))), head)).otherwise(head)
+    text = lambda raw: trim(F.replace(let(F.regexp_replace(raw, r"[#?][\s\S]*$", ""), decoded), F.lit("\\"), F.lit("/")))
+    folder = F.regexp_replace(F.replace(base, F.lit("\\"), F.lit("/")), r"[^/]*$", "")
+    steps = lambda full: F.aggregate(
         F.split(full, "/"),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s.isin("", "."), acc)
         .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(s))),
     )
-    path = F.array_join(steps, "/")
-    return F.when(raw.isNotNull() & (text != "") & ~outside & (path != ""), path)
+    plain = lambda t: F.when(t != "", F.nullif(F.array_join(steps(F.when(t.rlike(r"^(?:/|knowledge/)"), t).otherwise(F.concat(folder, t))), "/"), F.lit("")))
+    return let(trim(entry), lambda raw: F.when(raw.isNotNull() & ~outside(raw), let(text(raw), plain)))
 
 
 def find_orphans(parents: DataFrame, children: DataFrame) -> DataFrame:
@@ -55,7 +53,8 @@ def find_orphans(parents: DataFrame, children: DataFrame) -> DataFrame:
     Repeated children give one row. Returns ``src_table, src_id, parent_table, key, kind, at``;
     an empty parents table makes every child missing, an empty children table gives none.
     """
-    kids = children.where("key IS NOT NULL").select("src_table", "src_id", "parent_table", "key", "at").distinct()
+    # grouped with the parents and joined with the outcome: the children are worked out once
+    kids = materialize(children.select("src_table", "src_id", "parent_table", "key", "at").where("key IS NOT NULL").distinct(), "children")
     long = parents.where("key IS NOT NULL").select("parent_table", "key", F.lit(1).alias("is_parent"), F.col("deleted").cast("int").alias("deleted"), "since", F.lit(None).cast("timestamp").alias("at"))
     long = long.unionByName(
         kids.select("parent_table", "key", F.lit(0).alias("is_parent"), F.lit(0).alias("deleted"), F.lit(None).cast("timestamp").alias("since"), "at")

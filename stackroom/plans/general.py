@@ -45,7 +45,8 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce(F.col("b.link.url"), F.when(named != "", named)).alias("entry"), F.col("checked_at").alias("at"),
     )
     refs = a.unionByName(b)
-    return refs.select("src_table", "src_id", F.lit("orphans_analysis").alias("parent_table"), O.plain_path(F.col("entry"), F.col("base")).alias("key"), "at")
+    # exploding the path, a filter on it doesn't compute it a second time
+    return refs.select("src_table", "src_id", F.lit("orphans_analysis").alias("parent_table"), F.explode(F.array(O.plain_path(F.col("entry"), F.col("base")))).alias("key"), "at")
 
 
 def _articles_as_parents(spark: SparkSession, d: str) -> DataFrame:
