@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +32,32 @@ def get_spark(app: str = "stackroom", master: str | None = None, **conf: str) ->
         b = b.config(k, v)
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, unless they can import it themselves.
+
+    A Python worker starts with the PYTHONPATH of the application; where that names the folder
+    of this package, nothing is sent.
+    """
+    root = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in root.parts:
+        return
+    _shipped.add(app)
+    folder = tempfile.mkdtemp(prefix="stackroom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "stackroom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
