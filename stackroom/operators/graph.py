@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackroom.operators.hierarchy import hop
 from stackroom.session import cut
 
 #: Rounds between cuts of the lineage.
@@ -102,15 +103,21 @@ def katz(nodes: DataFrame, edges: DataFrame, rounds: int = 10, alpha: float = 0.
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): least id of the weakly connected component; pointer jumping, log rounds."""
+    """(id, component): least id of the weakly connected component, in a logarithmic number of rounds.
+
+    A round takes the least label among the neighbours, hands it to the node that the own label
+    names (hooking), and replaces every label by its label (jumping); so a long path does not
+    take a round per step. Labels of giant components are hot keys and are joined by broadcast.
+    """
     e = cut(undirected(edges))
     lab = cut(nodes.select("id", F.col("id").alias("component")))
+    n = lab.count()
     while True:
         near = e.join(lab, e.dst == lab.id).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        low = lab.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        # jump: take over the label of one's label
-        up = low.select(F.col("id").alias("component"), F.col("component").alias("upper"))
-        new = cut(low.join(up, "component", "left").select("id", F.least("component", F.coalesce("upper", "component")).alias("component"), "old"))
+        low = cut(lab.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component")))
+        hook = low.where("component < old").groupBy(F.col("old").alias("id")).agg(F.min("component").alias("h"))
+        j = cut(low.join(hook, "id", "left").select("id", "old", F.least("component", F.coalesce("h", "component")).alias("j")))
+        new = cut(hop(j, n).select("id", "old", F.least("j", "_j").alias("component")))
         changed = new.where("component < old").limit(1).count()
         lab = new.select("id", "component")
         if not changed:

@@ -27,7 +27,7 @@ from stackroom.skew import HOT_SHARE, bucket_offsets
 SIBLING_BUCKETS = 64
 
 
-def _hop(state: DataFrame, n: int, *values: str) -> DataFrame:
+def hop(state: DataFrame, n: int, *values: str) -> DataFrame:
     """For each row with a jump, the values (and the jump) of the row it lands on, as ``_<name>``.
 
     Jump targets with more than HOT_SHARE of the rows (at most 1/HOT_SHARE of them) are
@@ -77,7 +77,7 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     values = ["d", "top"] + ["path"] * with_path
     while live:
         inc = state.where("j IS NOT NULL").groupBy(F.col("j").alias("id")).agg(F.sum("size").alias("_inc"))
-        moved = _hop(state, n, *values).select(
+        moved = hop(state, n, *values).select(
             "id", "parent", F.col("_j").alias("j"), (F.col("d") + F.col("_d")).alias("d"), F.col("_top").alias("top"), "size",
             *([F.concat("_path", "path").alias("path")] if with_path else []),
         )
@@ -103,7 +103,7 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     )
     while pos.where("j IS NOT NULL").count():
         pos = cut(
-            _hop(pos, n, "lo").select("id", F.col("_j").alias("j"), (F.col("lo") + F.col("_lo")).alias("lo")).unionByName(pos.where("j IS NULL"))
+            hop(pos, n, "lo").select("id", F.col("_j").alias("j"), (F.col("lo") + F.col("_lo")).alias("lo")).unionByName(pos.where("j IS NULL"))
         )
     out = trees.join(pos.select("id", "lo"), "id").select(
         "id", F.col("parent").alias("parent_id"), F.col("top").alias("root_id"), F.col("d").cast("int").alias("depth"),
@@ -131,7 +131,7 @@ def _loops(rest: DataFrame, n: int) -> DataFrame:
     s = cut(rest.select("id", "parent", F.col("parent").alias("j"), F.col("id").alias("m")))
     size = s.count()
     while True:
-        s = cut(_hop(s, n, "m").select("id", "parent", F.col("_j").alias("j"), F.least("m", "_m").alias("m")))
+        s = cut(hop(s, n, "m").select("id", "parent", F.col("_j").alias("j"), F.least("m", "_m").alias("m")))
         now = s.select("j").distinct().count()
         if now == size:
             break
@@ -139,12 +139,12 @@ def _loops(rest: DataFrame, n: int) -> DataFrame:
     ring = s.select(F.col("j").alias("id")).distinct().withColumn("on_loop", F.lit(True))
     s = cut(s.join(ring, "id", "left").withColumn("on_loop", F.coalesce("on_loop", F.lit(False))))
     while True:
-        t = cut(_hop(s, n, "m").select("id", "parent", F.col("_j").alias("j"), F.least("m", "_m").alias("m"), "on_loop", (F.col("m") > F.col("_m")).alias("changed")))
+        t = cut(hop(s, n, "m").select("id", "parent", F.col("_j").alias("j"), F.least("m", "_m").alias("m"), "on_loop", (F.col("m") > F.col("_m")).alias("changed")))
         changed = t.where("on_loop AND changed").count()
         s = t.drop("changed")
         if not changed:
             break
-    return _hop(s, n, "m").select("id", F.col("parent").alias("parent_id"), F.col("_m").alias("root_id"), "on_loop")
+    return hop(s, n, "m").select("id", F.col("parent").alias("parent_id"), F.col("_m").alias("root_id"), "on_loop")
 
 
 def descendants(tree: DataFrame, of: DataFrame, id_col: str = "id") -> DataFrame:
