@@ -160,6 +160,18 @@ def descendants(tree: DataFrame, of: DataFrame, id_col: str = "id") -> DataFrame
     return j.select("ancestor_id", "descendant_id", (F.col("depth") - F.col("_d")).alias("steps"))
 
 
+def loops_cut(tree: DataFrame) -> DataFrame:
+    """A hierarchy without its loop nodes: each subtree that hangs off a loop is a tree of its own.
+
+    The first node below a loop becomes a root (parent null, depth 0) with its finite subtree
+    numbered as any other; of a hierarchy without loops nothing changes. The path is left out.
+    """
+    cols = [c for c in tree.columns if c != "path"]
+    # parents on the loop are no ids of these links, so their children count as roots
+    below = hierarchy(tree.where("depth < 0 AND NOT on_loop").select("id", "parent_id"), "id", "parent_id")
+    return tree.where("depth >= 0").select(*cols).unionByName(below.select(*cols))
+
+
 def ranges_to_ancestors(tree: DataFrame) -> DataFrame:
     """Parent recovered from the ranges alone: the smallest enclosing range. For checks."""
     w = W.partitionBy("id").orderBy(F.desc("a_lo"))

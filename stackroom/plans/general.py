@@ -9,6 +9,7 @@ from stackroom.operators import hierarchy as H
 from stackroom.operators import orphan_refs as O
 from stackroom.operators import thesaurus as T
 from stackroom.operators import timestamps as S
+from stackroom.session import cut
 from stackroom.tables import current_articles, table
 
 
@@ -31,6 +32,12 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(t, t.where("id % 100 = 0"))
 
 
+def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All terms below every term; subtrees that hang off a loop are trees of their own."""
+    t = cut(H.loops_cut(_tree(spark, d)))
+    return H.descendants(t, t)
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     art = table(spark, d, "orphans_analysis")
     cur = current_articles(art, F.col("path"), F.col("metadata.frontmatter.related").alias("related"), F.col("loaded_at").alias("at"))
@@ -108,7 +115,7 @@ def p6_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants,
+    "p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p1_all_descendants": p1_all_descendants,
     "p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts, "p6_found": p6_found, "p6_formats": p6_formats,
 }
 
@@ -135,6 +142,8 @@ SQL: dict[str, str] = {
     "p1_found": f"WITH RECURSIVE {WALK} SELECT term_id, CASE WHEN looped THEN list_min(seen[list_position(seen, node):]) ELSE node END AS root_id, (CASE WHEN looped THEN -1 ELSE len(seen) - 1 END)::INT AS depth FROM ends",
     "p1_descendants": f"""WITH RECURSIVE {WALK}, up AS (SELECT w.node AS ancestor_id, w.term_id AS descendant_id, (len(w.seen) - 1)::INT AS steps FROM walk w JOIN ends e USING (term_id) WHERE NOT e.looped AND len(w.seen) > 1)
 SELECT * FROM up WHERE ancestor_id % 100 = 0""",
+    "p1_all_descendants": f"""WITH RECURSIVE {WALK}, ring AS (SELECT DISTINCT unnest(seen[list_position(seen, node):]) AS node FROM ends WHERE looped)
+SELECT node AS ancestor_id, term_id AS descendant_id, (len(seen) - 1)::INT AS steps FROM walk WHERE NOT looped AND len(seen) > 1 AND node NOT IN (SELECT node FROM ring)""",
     "p2_found": f"WITH {REFS} SELECT DISTINCT src_table, src_id, target_path, kind FROM kinds WHERE kind IS NOT NULL",
     "p2_orphan_counts": f"""WITH {REFS}, d AS (SELECT DISTINCT src_table, src_id, target_path, kind, at_time FROM kinds WHERE kind IS NOT NULL)
 SELECT src_table, kind, strftime(at_time AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_refs, count(DISTINCT target_path) AS n_targets FROM d GROUP BY ALL""",

@@ -83,6 +83,27 @@ def test_descendants(spark):
     assert rows(H.descendants(t, of)) == [(1, 2, 1), (1, 3, 2), (1, 4, 1), (2, 3, 1)]
 
 
+def test_all_descendants_with_subtrees_below_loops(spark):
+    r = random.Random(9)
+    par = {i: (None if r.random() < 0.1 else r.randrange(80)) for i in range(80)} | {200: 201, 201: 200, 202: 201, 203: 202, 204: 203, 205: 202}
+    df = spark.createDataFrame(list(par.items()), "id long, parent long")
+    t = H.loops_cut(H.hierarchy(df, with_path=True))
+    looped = {x for x in par if brute(par)[x][1] < 0 and x in loop_of(par, x)}
+    want = {(a, x) for a in par if a not in looped for x in below(par, a)}
+    got = rows(H.descendants(t, t))
+    assert {(a, x) for a, x, _ in got} == want and len(got) == len(want)
+    assert {(202, 203, 1), (202, 204, 2), (202, 205, 1), (203, 204, 1)} <= set(got) and not {200, 201} & {a for a, *_ in got}
+
+
+def test_all_descendants_query(spark, tmp_path):
+    from stackroom.plans import general
+
+    names = {1: [], 2: ["t1"], 3: ["t2"], 4: ["t5"], 5: ["t4"], 6: ["t5"], 7: ["t6"]}  # 4 and 5 are a loop
+    df = spark.createDataFrame([(i, f"t{i}", b) for i, b in names.items()], "term_id long, term string, broader array<string>")
+    df.selectExpr("*", "CAST(NULL AS string) AS canonical", "CAST(NULL AS array<string>) AS synonyms", "'mined' AS origin", "TIMESTAMP '2025-01-01' AS exported_at").write.parquet(f"{tmp_path}/thesaurus.parquet")
+    assert rows(general.QUERIES["p1_all_descendants"](spark, str(tmp_path))) == [(1, 2, 1), (1, 3, 2), (2, 3, 1), (6, 7, 1)]
+
+
 def test_names(spark):
     s = "term_id long, term string, canonical string, synonyms array<string>, broader array<string>, origin string, exported_at timestamp"
     from datetime import datetime
