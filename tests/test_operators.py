@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stackroom import registry as REG
@@ -138,6 +139,26 @@ def test_near_duplicates_recall(spark):
         assert {k for k, y in got.items() if y.class_id == x.class_id} <= seen
 
 
+@pytest.mark.parametrize("block", [S.BLOCK, 7])
+def test_near_duplicates_links_of_a_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(2000)]
+    base, docs = [r.choice(vocab) for _ in range(300)], []
+    for i in range(50):
+        w = base[: 300 - r.randrange(20)]
+        for _ in range(i % 5):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        docs.append((i, " ".join(w)))
+    got = {x.doc_id: x for x in S.near_duplicates(spark.createDataFrame(docs, "id long, text string"), "id", "text").collect()}
+    sh = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in docs}
+    own = {min(j for j in sh if sh[j] == sh[i]) for i in sh}
+    want = {i: sum(len(sh[i] & sh[j]) >= 0.8 * len(sh[i] | sh[j]) for j in own if sh[j] != sh[i]) for i in sh}
+    assert sum(want.values()) > 50 * 20
+    # never a link too many, and the bands miss hardly any
+    assert all(got[i].n_links <= want[i] for i in sh) and sum(got[i].n_links for i in sh) >= 0.995 * sum(want.values())
+
+
 def test_simhash_near_for_near_texts(spark):
     base = " ".join(f"word{i}" for i in range(200))
     d = spark.createDataFrame([(0, base), (1, base + " more"), (2, " ".join(f"other{i}" for i in range(200))), (3, "")], "id int, t string")
