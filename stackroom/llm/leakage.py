@@ -29,6 +29,8 @@ N = 2
 DOC_GAP, ITEM_GAP = 40, 30
 #: Share of an item's words that make a leak.
 SHARE = 0.5
+#: Fewest words of a further part of a cut copy; fewer may stand together by chance.
+LEAST_REST = 8
 #: Bytes of item texts that may be broadcast; a larger test set is checked in several passes.
 ITEM_BYTES = 64 << 20
 
@@ -121,8 +123,8 @@ def near(a: str, b: str) -> bool:
     return same + tail >= max(2, 0.6 * max(len(a), len(b)))
 
 
-def best_chain(words: list[str], item: list[str], at: np.ndarray, pos: np.ndarray) -> tuple[int, int, int]:
-    """(item words covered, first word, word after the last) of the best chain of hits."""
+def best_chain(words: list[str], item: list[str], at: np.ndarray, pos: np.ndarray) -> tuple[int, int, int, set[int]]:
+    """(item words covered, first word, word after the last, which are covered) of the best chain of hits."""
     order = np.lexsort((pos, at))
     p, k = at[order].tolist(), pos[order].tolist()
     score: list[float] = []
@@ -147,7 +149,7 @@ def best_chain(words: list[str], item: list[str], at: np.ndarray, pos: np.ndarra
             top = (best, a)
     a = top[1]
     if a < 0:
-        return 0, 0, 0
+        return 0, 0, 0, set()
     covered: set[int] = set()
     end = p[a] + N
     while True:
@@ -159,11 +161,22 @@ def best_chain(words: list[str], item: list[str], at: np.ndarray, pos: np.ndarra
         if k[a] - k[b] == p[a] - p[b]:
             covered.update(x for x in range(k[b] + N, k[a]) if near(words[p[b] + x - k[b]], item[x]))
         a = b
-    return len(covered), p[a], end
+    return len(covered), p[a], end, covered
+
+
+def _outside(at: np.ndarray, pos: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hits that share no word with the document's words from first to before end."""
+    ok = (at + N <= first) | (at >= end)
+    return at[ok], pos[ok]
 
 
 def _scan(text: str, items: Items) -> list[tuple[int, int, int, float]]:
-    """(item, first word, word after the last, share) of every leak in a text."""
+    """(item, first word, word after the last, share) of every leak in a text.
+
+    The hits of an accepted span are taken out and the rest is searched again, until no chain
+    holds SHARE of the item. What is left of an item that a copy has only in part counts as the
+    other part of it where a chain holds SHARE of the missing words, at least LEAST_REST.
+    """
     words = WORD.findall(fold(text))
     get = items.code.get
     codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
@@ -172,9 +185,27 @@ def _scan(text: str, items: Items) -> list[tuple[int, int, int, float]]:
     if len(at):
         for k in items.enough(item, pos):
             mine = item == k
-            n, a, b = best_chain(words, items.words[k], at[mine], pos[mine])
-            if n >= SHARE * len(items.words[k]):
-                out.append((int(k), a, b, n / len(items.words[k])))
+            p, q, ws = at[mine], pos[mine], items.words[k]
+            spans = []
+            while len(p):
+                n, a, b, held = best_chain(words, ws, p, q)
+                if n < SHARE * len(ws):
+                    break
+                spans.append((a, b, n, held))
+                p, q = _outside(p, q, a, b)
+            # the other parts of copies that are cut
+            rest = []
+            for *_, held in spans:
+                lacks = np.array([x for x in range(len(ws)) if x not in held], np.int64)
+                while len(lacks) >= LEAST_REST and len(p):
+                    ok = np.isin(q, lacks) & np.isin(q + N - 1, lacks)
+                    n, a, b, more = best_chain(words, ws, p[ok], q[ok])
+                    if n < max(LEAST_REST, SHARE * len(lacks)):
+                        break
+                    rest.append((a, b, n, more))
+                    p, q = _outside(p, q, a, b)
+                    lacks = np.array([x for x in lacks if x not in more], np.int64)
+            out += [(int(k), a, b, n / len(ws)) for a, b, n, _ in spans + rest]
     return out
 
 
@@ -195,7 +226,7 @@ def leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id
     """Leaked items per document: ``doc_id, item_id, first_word, last_word, share``.
 
     Null and empty texts have no leak, nor have items without words. A document that holds an item
-    several times gives one row with its best place. Places count words of letters and digits.
+    several times, or in parts far from each other, gives one row per place. Places count words of letters and digits.
     """
     out = None
     for d, held in _tasks(docs, id_col, text_col, items, item_id, item_text):

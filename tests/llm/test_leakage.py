@@ -46,6 +46,21 @@ def test_spans_are_removed(spark):
     assert got == {1: ("Before it. . After it.", 1), 2: ("Nothing here", 0)}
 
 
+def test_every_copy_and_part_is_removed(spark):
+    w, v = " ".join(ITEMS[0]), " ".join(ITEMS[1])
+    far = " ".join(f"other{i}" for i in range(60))
+    part = " ".join(ITEMS[0][:38]), " ".join(ITEMS[0][38:])
+    docs = [
+        (1, f"Start {w} {far} {w} {far} {w} end"), (2, f"Start {w} {w} end"), (3, f"Start {part[0]} {far} {part[1]} end"), (4, f"Start {w} {far} {v} {far} {w} end"),
+    ]
+    d, i = frames(spark, docs)
+    got = {r.doc_id: (r.text.split(), r.n_removed) for r in LE.cleaned(d, "doc_id", "text", i, "item_id", "text").collect()}
+    f = far.split()
+    assert got == {1: (["Start", *f, *f, "end"], 3), 2: (["Start", "end"], 2), 3: (["Start", *f, "end"], 2), 4: (["Start", *f, *f, "end"], 3)}
+    spans = rows(LE.leaks(d, "doc_id", "text", i, "item_id", "text").select("doc_id", "item_id", "first_word", "last_word"))
+    assert spans[:3] == [(1, 1, 1, 60), (1, 1, 121, 180), (1, 1, 241, 300)] and (3, 1, 99, 120) in spans
+
+
 def test_several_passes(spark, monkeypatch):
     docs = [(1, " ".join(ITEMS[0])), (2, " ".join(ITEMS[4]))]
     want = found(spark, docs)
