@@ -7,6 +7,8 @@ dropped by ``simple``; operators that count multiplicity say so.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -256,16 +258,17 @@ def affected(edges: DataFrame, changed: DataFrame, most: int = 50) -> DataFrame:
     return d.groupBy("id").agg(F.min("distance").alias("steps"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, most: int = 30) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """(id, betweenness): Brandes' accumulation from the given sources on the directed graph.
 
     Forward rounds count shortest paths level by level for all sources at once, backward rounds
-    share the dependencies out; state is one row per (source, node reached).
+    share the dependencies out; state is one row per (source, node reached). Without ``most``
+    the rounds end where nothing new is reached; with all nodes as sources it is the centrality.
     """
     e = cut(simple(edges))
     seen = cut(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")).distinct())
     front, last = seen, 0
-    for d in range(1, most + 1):
+    for d in range(1, most + 1) if most else count(1):
         step = front.join(e, front.id == e.src).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
         front = cut(step.join(seen.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", F.lit(d).alias("d"), "sigma"))
         if not front.limit(1).count():

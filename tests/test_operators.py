@@ -106,6 +106,16 @@ def test_boolean_parser(spark):
         assert sorted(r.id for r in d.where(R.boolean(q, F.col("ws"))).collect()) == want
 
 
+def test_betweenness_query_takes_all_sources_and_lengths(spark, tmp_path):
+    from stackroom.plans import links
+
+    e = [(f"a{i:02}", f"a{i + 1:02}") for i in range(13)]  # a chain of thirteen steps
+    spark.createDataFrame([(s, [t]) for s, t in e], "path string, similar_articles array<string>").write.parquet(f"{tmp_path}/tagging_suggestions.parquet")
+    spark.createDataFrame([("alone",)], "path string").write.parquet(f"{tmp_path}/orphans_analysis.parquet")
+    got = dict(rows(links.QUERIES["betweenness"](spark, str(tmp_path))))
+    assert got == {f"a{i:02}": float(i * (13 - i)) for i in range(1, 13)}
+
+
 def test_near_duplicates_recall(spark):
     r = random.Random(11)
     vocab = [f"w{i}" for i in range(2000)]
