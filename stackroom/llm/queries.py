@@ -12,6 +12,7 @@ from stackroom.llm import packing as PA
 from stackroom.llm import reading as RE
 from stackroom.llm import setjoin as SJ
 from stackroom.operators.thesaurus import current_terms
+from stackroom.session import materialize
 from stackroom.skew import lookup
 from stackroom.tables import current_articles, table
 
@@ -24,22 +25,24 @@ def _free_tags(spark: SparkSession, d: str) -> DataFrame:
     return tags.join(exact, "tag", "left_anti")
 
 
-def _mapped_tags(spark: SparkSession, d: str) -> DataFrame:
+def _mapped_tags(spark: SparkSession, d: str, free: DataFrame) -> DataFrame:
     """Each free tag value once, with the curated term it denotes or -1."""
     cur = current_terms(table(spark, d, "thesaurus")).where("origin = 'curated'")
     names = cur.select("term_id", F.explode(F.concat(F.array("term", "canonical"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("name"))
-    return CA.map_values(_free_tags(spark, d), "tag", names, "term_id", "name")
+    return CA.map_values(free, "tag", names, "term_id", "name")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    got = _mapped_tags(spark, d).select(F.col("value").alias("tag"), F.col("entry_id").alias("term_id"))
-    return lookup(_free_tags(spark, d), got, "tag", "inner").select("suggestion_id", "tag", "term_id")
+    free = materialize(_free_tags(spark, d), "free-tags")
+    got = _mapped_tags(spark, d, free).select(F.col("value").alias("tag"), F.col("entry_id").alias("term_id"))
+    return lookup(free, got, "tag", "inner").select("suggestion_id", "tag", "term_id")
 
 
 def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Values that denote no curated term, with the number of records that hold them."""
-    none = _mapped_tags(spark, d).where("entry_id = -1").select(F.col("value").alias("tag"))
-    return lookup(_free_tags(spark, d), none, "tag", "inner").groupBy("tag").agg(F.count(F.lit(1)).alias("n_records"))
+    free = materialize(_free_tags(spark, d), "free-tags")
+    none = _mapped_tags(spark, d, free).where("entry_id = -1").select(F.col("value").alias("tag"))
+    return lookup(free, none, "tag", "inner").groupBy("tag").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 def _article_tags(spark: SparkSession, d: str) -> DataFrame:
