@@ -15,8 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from stackroom.skew import lookup
+from stackroom.session import materialize
+from stackroom.skew import bucket_offsets, lookup
 
 #: With at most this many frequent items their index is broadcast; more are joined by shuffle.
 DENSE_ITEMS = 200_000
@@ -37,13 +39,20 @@ def item_set(tags: Column) -> Column:
 def _heavy_gram(rows: list[np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray]:
     """Sparse entries of X'X for a few long rows, from dense item blocks."""
     cols = np.unique(np.concatenate(rows))
-    x = np.zeros((len(rows), len(cols)), np.float32)
-    for r, ids in enumerate(rows):
-        x[r, np.searchsorted(cols, ids)] = 1
+    at = [np.searchsorted(cols, ids) for ids in rows]
+
+    def block(a: int) -> np.ndarray:
+        """The rows' entries in one block of items: as many floats as rows times ITEM_BLOCK, however many items there are."""
+        x = np.zeros((len(rows), min(ITEM_BLOCK, len(cols) - a)), np.float32)
+        for r, ids in enumerate(at):
+            x[r, ids[np.searchsorted(ids, a) : np.searchsorted(ids, a + ITEM_BLOCK)] - a] = 1
+        return x
+
     keys, counts = [], []
     for a in range(0, len(cols), ITEM_BLOCK):
+        left = block(a)
         for b in range(a, len(cols), ITEM_BLOCK):
-            g = x[:, a : a + ITEM_BLOCK].T @ x[:, b : b + ITEM_BLOCK]
+            g = left.T @ (left if a == b else block(b))
             i, j = np.nonzero(g)
             keep = i + a < j + b
             i, j = i[keep], j[keep]
@@ -120,6 +129,15 @@ def _gram(m: int, index: dict | None):
     return run
 
 
+def _ranked(freq: DataFrame, buckets: int = 4096) -> DataFrame:
+    """id, item, n: any numbering of the items from 0 without gaps, by hashed buckets and their offsets."""
+    b = freq.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(buckets)).cast("int"))
+    # the window over all buckets sees ``buckets`` rows
+    before = bucket_offsets(b.withColumn("_g", F.lit(0)), ["_g"], "b", F.lit(1)).select("b", "_before")
+    own = F.row_number().over(W.partitionBy("b").orderBy("item"))
+    return b.withColumn("r", own).join(F.broadcast(before), "b").select((F.col("_before") + F.col("r") - 1).cast("long").alias("id"), "item", "n")
+
+
 def cooccurrence(baskets: DataFrame, items: str, min_count: int = 5, per: int | None = 2000, min_lift: float | None = 3) -> DataFrame:
     """Pairs of items that occur together, with their lift over chance.
 
@@ -133,6 +151,7 @@ def cooccurrence(baskets: DataFrame, items: str, min_count: int = 5, per: int |
     """
     spark = baskets.sparkSession
     sets = baskets.select(F.array_distinct(F.filter(F.col(f"`{items}`"), lambda x: x.isNotNull())).alias("items")).where(F.size("items") > 0)
+    sets = materialize(sets, "baskets")  # counted, ranked and multiplied
     total = sets.count()
     least = max(min_count, -(-total // per) if per else 0)
     freq = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -145,13 +164,10 @@ def cooccurrence(baskets: DataFrame, items: str, min_count: int = 5, per: int |
         gram = sets.mapInPandas(_gram(max(1, len(names)), index), "i long, j long, n long")
         named = lambda s: F.broadcast(vocab.select(F.col("id").alias(s), F.col("item").alias(f"item_{s}"), F.col("n").alias(f"n_{s}")))
     else:
-        from stackroom.session import materialize
-
-        # too many for a broadcast index: ids by rank within range partitions, joined by shuffle
+        # too many for a broadcast index: ids by hashed buckets, joined by shuffle
         ranged = materialize(freq.orderBy("item"), "items")
         n_items = ranged.count()
-        ids = ranged.rdd.map(lambda r: (r["item"], r["n"])).sortByKey().zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-        vocab = materialize(spark.createDataFrame(ids, "id long, item string, n long"), "vocab")
+        vocab = materialize(_ranked(ranged), "vocab")
         rows = sets.withColumn("k", F.monotonically_increasing_id()).select("k", F.explode("items").alias("item"))
         coded = lookup(rows, vocab.select("item", "id"), "item", "inner").groupBy("k").agg(F.collect_list("id").alias("items"))
         gram = coded.select("items").mapInPandas(_gram(n_items, None), "i long, j long, n long")
@@ -161,4 +177,6 @@ def cooccurrence(baskets: DataFrame, items: str, min_count: int = 5, per: int |
     out = out.withColumn("n", F.lit(total)).withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b")))
     if min_lift is not None:
         out = out.where(F.col("n_ab") * F.col("n") >= F.col("n_a") * F.col("n_b") * F.lit(min_lift))
-    return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", "lift")
+    turned = F.col("item_a") > F.col("item_b")  # ids that are no ranks
+    swap = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x)
+    return out.select(swap("item_a", "item_b"), swap("item_b", "item_a"), "n_ab", swap("n_a", "n_b"), swap("n_b", "n_a"), "n", "lift")
