@@ -62,10 +62,33 @@ def test_every_copy_and_part_is_removed(spark):
 
 
 def test_several_passes(spark, monkeypatch):
-    docs = [(1, " ".join(ITEMS[0])), (2, " ".join(ITEMS[4]))]
-    want = found(spark, docs)
-    monkeypatch.setattr(LE, "ITEM_BYTES", 900)
-    assert found(spark, docs) == want == [(1, 1), (2, 5)]
+    """Shared openings and spans are the same however the items are dealt to passes."""
+    docs = [(1, " ".join(ITEMS[0])), (2, " ".join(ITEMS[4])), (3, INSTRUCTION * 3), (4, INSTRUCTION), (5, f"a {' '.join(ITEMS[1])} b {' '.join(ITEMS[2])} c {' '.join(ITEMS[1])} d")]
+    d, i = frames(spark, docs)
+    want = found(spark, docs), rows(LE.cleaned(d, "doc_id", "text", i, "item_id", "text"))
+    assert want[0] == [(1, 1), (2, 5), (5, 2), (5, 2), (5, 3)] and want[1][4] == (5, "a  b  c  d", 3)
+    for least in (1200, 1):
+        monkeypatch.setattr(LE, "ITEM_BYTES", least)
+        assert (found(spark, docs), rows(LE.cleaned(d, "doc_id", "text", i, "item_id", "text"))) == want
+
+
+def test_recall_by_gap_and_alteration():
+    """Whole items in runs with foreign words between, and with a share of words altered."""
+    r = random.Random(5)
+    items = LE.Items([(i, " ".join(w), 0) for i, w in enumerate(ITEMS)])
+    foreign = lambda n: [f"other{r.randrange(5000)}" for _ in range(n)]
+    hits = lambda words, k: any(x[1] == k for x in LE._scan([" ".join(words)], items))
+    for gap in (0, 12, 39, 60, 100, 200):
+        for run in (10, 20, 30):
+            for k, w in enumerate(ITEMS):
+                assert hits(sum((w[a : a + run] + foreign(gap) for a in range(0, 60, run)), foreign(300)) + foreign(300), k), (gap, run)
+    for every in (2, 3, 4):
+        for k, w in enumerate(ITEMS):
+            assert hits(foreign(50) + [x + "s" if n % every == 0 else x for n, x in enumerate(w)] + foreign(50), k)
+            assert hits(foreign(50) + [foreign(1)[0] if n % every == 0 else x for n, x in enumerate(w)] + foreign(50), k)
+    for k, w in enumerate(ITEMS):
+        assert not hits(foreign(50) + w[:26] + foreign(200) + w[:26] + foreign(50), k)
+        assert not hits([x for n, x in enumerate(w) if n % 5 < 2], k)
 
 
 def test_empty_tables(spark):
