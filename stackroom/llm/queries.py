@@ -142,4 +142,6 @@ SQL: dict[str, str] = {
     "p4_found": f"WITH {PAIRS} SELECT item_a AS tag_a, item_b AS tag_b FROM x",
     "p4_cooccurrence": f"WITH {PAIRS} SELECT item_a, item_b, n_ab, n_a, n_b, n, n_ab * n / (n_a * n_b) AS lift FROM x",
     "p5_found": f"WITH {JOINED} SELECT DISTINCT id_a, id_b FROM f",
+    "p5_links": f"""WITH {JOINED}, sides AS (SELECT DISTINCT id_a AS id, id_b AS o FROM f UNION SELECT DISTINCT id_b, id_a FROM f)
+SELECT s.id, min(s.id) OVER (PARTITION BY s.items) AS class_id, coalesce(n, 0)::BIGINT AS n_links FROM s LEFT JOIN (SELECT id, count(*) AS n FROM sides GROUP BY id) USING (id)""",
 }

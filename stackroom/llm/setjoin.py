@@ -4,8 +4,10 @@ Two sets of sizes s <= l whose Jaccard similarity reaches t differ in at most
 H = s + l - 2 ceil(t (s + l) / (1 + t)) tokens. The token universe is split by hash into
 H // 2 + 1 segments; in one of them the two sets differ in at most one token. So the smaller
 set is indexed and the larger one probes, for each pair of sizes, by segment contents and by
-contents with one token deleted; sets that share a signature are verified. No pair is lost
-and no token is left out however frequent it is.
+contents with one token deleted. Signature rows carry no sets but a 64-bit sketch of them, whose
+differing bits bound the difference from below; the pairs that are left are verified on the
+sets. No pair is lost and no token is left out however frequent it is. A signature of many sets
+is cut into blocks, so that no task meets all of its pairs.
 
 A segment that one set leaves empty says nothing; the sets in that case are split once more,
 by another hash, so that empty signatures gather no group of their own. Exact copies are
@@ -22,8 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackroom.session import materialize
 from stackroom.skew import lookup
 
+#: Sets of one signature that a task holds against the probing ones; more are cut into blocks of this size.
+BLOCK = 4096
 #: Times that a set with an empty segment is split anew before the empty signature is used as it is.
 RESPLITS = 3
 
@@ -64,6 +69,7 @@ def _signatures(tok: np.ndarray, m: int, tag: int, probe: bool, both: bool, dept
     n, s = tok.shape
     seg = (_mix(tok, 1000 + depth) % np.uint64(m)).astype(np.int64) if m > 1 else np.zeros((n, s), np.int64)
     val = _mix(tok, 7)
+    again = np.zeros(n, bool)
     for k in range(m):
         inside = seg == k
         count = inside.sum(axis=1)
@@ -81,14 +87,18 @@ def _signatures(tok: np.ndarray, m: int, tag: int, probe: bool, both: bool, dept
                 with np.errstate(over="ignore"):
                     yield r, _mix((total[r] - val[r, c]) ^ name, 3)
                 hollow |= count == 1
-            at = np.flatnonzero(hollow)
-            if not len(at):
-                continue
             if m == 1 or depth == RESPLITS:
-                yield at, np.full(len(at), _mix(np.array([name], np.uint64), 5)[0])
+                at = np.flatnonzero(hollow)
+                if len(at):
+                    yield at, np.full(len(at), _mix(np.array([name], np.uint64), 5)[0])
             else:
-                for r, key in _signatures(tok[at], m, int(name >> np.uint64(12)), probe, True, depth + 1):
-                    yield at[r], key
+                again |= hollow
+    at = np.flatnonzero(again)
+    if len(at):
+        # one new split of the whole set serves all of its hollow segments: it loses no pair by itself
+        name = _mix(np.array([tag * 1024 + 1023], np.uint64), 11)[0]
+        for r, key in _signatures(tok[at], m, int(name >> np.uint64(12)), probe, True, depth + 1):
+            yield at[r], key
 
 
 def _emit(t: Fraction, probe: bool):
@@ -101,6 +111,7 @@ def _emit(t: Fraction, probe: bool):
                 at = np.flatnonzero(sizes == size)
                 tok = np.stack(b["tokens"].iloc[at].to_numpy()).astype(np.int64)
                 ids = b["id"].to_numpy()[at]
+                sketch = np.bitwise_or.reduce(np.uint64(1) << (_mix(tok, 5) & np.uint64(63)), axis=1).astype(np.int64)
                 for s, l, h in schemes(int(size), t, probe):
                     m = h // 2 + 1
                     # of equal sizes each set plays both sides, and one segment of all tokens has its odd one in the larger set
@@ -108,7 +119,7 @@ def _emit(t: Fraction, probe: bool):
                     r = np.concatenate([p[0] for p in parts])
                     key = np.concatenate([p[1] for p in parts]).astype(np.int64)
                     if len(r):
-                        yield pd.DataFrame({"key": key, "id": ids[r], "tokens": list(tok[r])})
+                        yield pd.DataFrame({"key": key, "id": ids[r], "n": np.full(len(r), size, np.int32), "sketch": sketch[r]})
 
     return run
 
@@ -120,7 +131,9 @@ def distinct_sets(sets: DataFrame, id_col: str, items: str, min_size: int = 1) -
     """
     s = sets.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{items}`").alias("items")).where(F.col("id").isNotNull() & (F.size("items") >= min_size))
     s = s.withColumn("h", F.struct(F.xxhash64("items").alias("a"), F.xxhash64(F.lit("second"), "items").alias("b")))
+    s = materialize(s, "sets")
     reps = s.groupBy("h").agg(F.min("id").alias("rep"), F.first("items").alias("items"), F.countDistinct("id").alias("n"))
+    reps = materialize(reps, "distinct-sets")
     return reps.select("rep", "items", "n"), lookup(s.select("id", "h").distinct(), reps.select("h", "rep"), "h", "inner").select("id", "rep")
 
 
@@ -132,11 +145,19 @@ def similar_sets(reps: DataFrame, threshold: float | str = "0.8") -> DataFrame:
     """
     t = Fraction(str(threshold))
     coded = reps.select(F.col("rep").alias("id"), F.transform("items", lambda x: F.xxhash64(x)).alias("tokens"))
-    schema = "key long, id long, tokens array<bigint>"
-    index, probe = coded.mapInPandas(_emit(t, False), schema).alias("y"), coded.mapInPandas(_emit(t, True), schema).alias("x")
-    common = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    need = (F.size("x.tokens") + F.size("y.tokens")) * t.numerator
-    j = index.join(probe, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (common * (t.denominator + t.numerator) >= need))
+    schema = "key long, id long, n int, sketch long"
+    index, probe = materialize(coded.mapInPandas(_emit(t, False), schema), "signatures"), coded.mapInPandas(_emit(t, True), schema)
+    big = index.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK).select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    if not (big := materialize(big, "hot-signatures")).isEmpty():
+        # each indexed set lies in one block of its signature, each probing one meets all blocks
+        index = index.join(big, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0))).drop("blocks")
+        probe = probe.join(big, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block"))
+    else:
+        on = F.col("x.key") == F.col("y.key")
+    apart = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) * (t.denominator + t.numerator)
+    may = apart <= (F.col("x.n") + F.col("y.n")) * (t.denominator - t.numerator)
+    j = index.alias("y").join(probe.alias("x"), on & (F.col("x.id") != F.col("y.id")) & may)
     pairs = j.select(F.least("x.id", "y.id").alias("rep_a"), F.greatest("x.id", "y.id").alias("rep_b")).distinct()
     a, b = (reps.select(F.col("rep").alias(f"rep_{s}"), F.col("items").alias(f"items_{s}")) for s in "ab")
     out = pairs.join(a, "rep_a").join(b, "rep_b").withColumn("overlap", F.size(F.array_intersect("items_a", "items_b")))

@@ -51,6 +51,17 @@ def test_hollow_segments(spark):
     assert {(x.id_a, x.id_b) for x in SJ.expand(SJ.similar_sets(reps, "0.5"), members).collect()} == brute(sets, "0.5")
 
 
+def test_hot_signatures(spark, monkeypatch):
+    """Sets that share most tokens have the same signatures; cut into blocks they give the same pairs."""
+    monkeypatch.setattr(SJ, "BLOCK", 8)
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(12)]
+    sets = {i: sorted({*common, *(f"v{r.randrange(40)}" for _ in range(r.randrange(0, 6)))}) for i in range(150)}
+    df = spark.createDataFrame(list(sets.items()), "id long, items array<string>")
+    reps, members = SJ.distinct_sets(df, "id", "items")
+    assert {(x.id_a, x.id_b) for x in SJ.expand(SJ.similar_sets(reps, "0.8"), members).collect()} == brute(sets, "0.8")
+
+
 def test_empty_null_and_repeated(spark):
     data = [(1, []), (2, ["a", "b"]), (2, ["a", "b"]), (3, ["a", "b"]), (None, ["a", "b"])]
     df = spark.createDataFrame(data, "id long, items array<string>")
