@@ -1,17 +1,21 @@
 """Parent-child links to full hierarchies.
 
-Every node gets its root, depth, number of descendants and a nested-set range inside its
-tree, and nodes on or below a loop are pointed out. The work is done in rounds whose number
-grows with the logarithm of the depth: in each round every node's jump pointer doubles its
-reach, so a chain of a million links takes twenty rounds, not a million.
+Every node gets its root, depth, number of descendants and a nested-set range, and nodes on or
+below a loop are pointed out. The work is done in rounds whose number grows with the logarithm
+of the depth: in each round every node's jump pointer doubles its reach, so a chain of a million
+links takes twenty rounds, not a million.
 
 1. upward: ``size(v)`` = nodes within 2^k steps below v; a round adds the sizes of the nodes
    whose jump lands on v. Nodes that still have a jump when a round ends none of them never
    will: they are on a loop or below one.
-2. siblings get preorder offsets by prefix sums of the sizes, in hashed buckets per parent so
-   that a parent with a third of all children is not one task;
-3. downward: the offsets are summed along the way to the root, again by doubling. Node v's
-   descendants are exactly the rows of its tree with lo in (v.lo, v.hi).
+2. siblings - and the roots among themselves - get preorder offsets by prefix sums of the sizes,
+   in hashed buckets per parent so that a parent with a third of all children is not one task;
+3. downward: the offsets are summed along the way to the root. Node v's descendants are exactly
+   the nodes with lo in (v.lo, v.hi);
+4. from the ranges alone come the root (the last root that begins at or before lo), the depth
+   (the ranges that begin before lo less those that have ended) and, on request, the path and all
+   descendants (the ranges that hold lo). Since the ranges number all nodes without gaps, blocks
+   of equal length hold equally many, however the trees are shaped.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ from stackroom.skew import HOT_SHARE, bucket_offsets
 
 #: Hashed buckets per parent in the sibling prefix sums.
 SIBLING_BUCKETS = 64
+#: Nodes of a block in the sums over the preorder.
+BLOCK = 4096
+#: Lengths of the blocks into which a range is cut to be joined with what it holds.
+STEPS = (1, 8, 64, 512, 4096)
 
 
 def hop(state: DataFrame, n: int, *values: str) -> DataFrame:
@@ -53,63 +61,49 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     parent that is no id counts as null. An empty table gives an empty result.
 
     Returns ``id, parent_id, root_id, depth, n_descendants, lo, hi, on_loop`` and, on request,
-    ``path`` (ids from the root to the node). For a node on a loop or below one, root_id is
-    the smallest id of that loop, depth is -1, on_loop tells which of both it is, and the
-    other columns are null.
+    ``path`` (ids from the root to the node). lo numbers the nodes of all trees in preorder. For
+    a node on a loop or below one, root_id is the smallest id of that loop, depth is -1, on_loop
+    tells which of both it is, and the other columns are null. Runs jobs while the plan is built.
     """
-    raw = (
+    raw = cut(
         links.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{parent_col}`").cast("long").alias("p"))
         .where("id IS NOT NULL")
         .groupBy("id")
         .agg(F.min("p").alias("p"))
     )
-    raw = cut(raw)
-    ids = raw.select(F.col("id").alias("p"), F.lit(True).alias("_is"))
-    base = raw.join(ids, "p", "left").select("id", F.when(F.col("_is"), F.col("p")).alias("parent"))
-    path0 = [F.array("id").alias("path")] if with_path else []
-    state = cut(
-        base.select(
-            "id", "parent", F.col("parent").alias("j"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("d"),
-            F.coalesce("parent", "id").alias("top"), F.lit(1).cast("long").alias("size"), *path0,
-        )
-    )
-    n, live = state.count(), state.where("j IS NOT NULL").count()
-    values = ["d", "top"] + ["path"] * with_path
+    n = raw.count()
+    # roots stay out of the join, a parent of many is joined by broadcast
+    named = hop(raw.select("id", F.col("p").alias("j")), n)
+    base = named.select("id", F.col("j").alias("parent")).join(raw.select("id"), "id", "right")
+    size = lambda: F.lit(1).cast("long").alias("size")
+    state = cut(base.select("id", "parent", F.col("parent").alias("j"), size()))
+    live = state.where("j IS NOT NULL").count()
     while live:
-        inc = state.where("j IS NOT NULL").groupBy(F.col("j").alias("id")).agg(F.sum("size").alias("_inc"))
-        moved = hop(state, n, *values).select(
-            "id", "parent", F.col("_j").alias("j"), (F.col("d") + F.col("_d")).alias("d"), F.col("_top").alias("top"), "size",
-            *([F.concat("_path", "path").alias("path")] if with_path else []),
-        )
-        stay = state.where("j IS NULL")
-        state = cut(
-            moved.unionByName(stay).join(inc, "id", "left").withColumn("size", F.col("size") + F.coalesce("_inc", F.lit(0))).drop("_inc")
-        )
+        state = cut(_grown(state, n))
         now = state.where("j IS NOT NULL").count()
         if now == live:
             break
         live = now
     trees = state.where("j IS NULL")
 
-    bucket = F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS)).cast("int")
-    kids = trees.where("parent IS NOT NULL").select("id", "parent", "size", bucket.alias("b"))
-    before = bucket_offsets(kids, ["parent"], "b", F.col("size"))
-    w = W.partitionBy("parent", "b").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
-    first = kids.withColumn("_in", F.coalesce(F.sum("size").over(w), F.lit(0))).join(before, ["parent", "b"])
-    pos = cut(
-        first.select("id", F.col("parent").alias("j"), (F.col("_in") + F.col("_before") + 1).alias("lo")).unionByName(
-            trees.where("parent IS NULL").select("id", F.col("parent").alias("j"), F.lit(0).cast("long").alias("lo"))
-        )
-    )
+    # a root is taken for a child of one node above all, -1 standing for it here only
+    kids = trees.select("id", "parent", "size", F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS * 64)).cast("int").alias("b"))
+    kids = kids.withColumn("b", F.when(F.col("parent").isNotNull(), F.col("b") % SIBLING_BUCKETS).otherwise(F.col("b"))).withColumn("top", F.col("parent").isNull())
+    kids = kids.withColumn("parent", F.coalesce("parent", F.lit(-1)))
+    before = bucket_offsets(kids, ["top", "parent"], "b", F.col("size"))
+    w = W.partitionBy("top", "parent", "b").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
+    placed = kids.withColumn("_in", F.coalesce(F.sum("size").over(w), F.lit(0))).join(before, ["top", "parent", "b"])
+    lo = F.col("_in") + F.col("_before") + F.when(F.col("top"), 0).otherwise(1)
+    parent = F.when(~F.col("top"), F.col("parent"))
+    pos = cut(placed.select("id", parent.alias("parent"), parent.alias("j"), "size", lo.alias("lo")))
     while pos.where("j IS NOT NULL").count():
-        pos = cut(
-            hop(pos, n, "lo").select("id", F.col("_j").alias("j"), (F.col("lo") + F.col("_lo")).alias("lo")).unionByName(pos.where("j IS NULL"))
-        )
-    out = trees.join(pos.select("id", "lo"), "id").select(
-        "id", F.col("parent").alias("parent_id"), F.col("top").alias("root_id"), F.col("d").cast("int").alias("depth"),
-        (F.col("size") - 1).alias("n_descendants"), "lo", (F.col("lo") + F.col("size")).alias("hi"), F.lit(False).alias("on_loop"),
-        *(["path"] if with_path else []),
-    )
+        pos = cut(_lowered(pos, n))
+    out = _from_ranges(pos.select("id", F.col("parent").alias("parent_id"), "size", "lo", (F.col("lo") + F.col("size")).alias("hi")))
+    if with_path:
+        out = cut(out)
+        chain = F.sort_array(F.collect_list(F.struct("steps", "ancestor_id")), asc=False)
+        above = descendants(out, out).groupBy(F.col("descendant_id").alias("id")).agg(F.transform(chain, lambda x: x["ancestor_id"]).alias("above"))
+        out = out.join(above, "id", "left").withColumn("path", F.concat(F.coalesce("above", F.array().cast("array<bigint>")), F.array("id"))).drop("above")
     if not live:
         return out
     loops = _loops(state.where("j IS NOT NULL").select("id", "parent"), n)
@@ -122,6 +116,42 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     )
 
 
+def _grown(state: DataFrame, n: int) -> DataFrame:
+    """One doubling upward: sizes of the nodes whose jump lands on a node are added, jumps reach twice as far."""
+    inc = state.where("j IS NOT NULL").groupBy(F.col("j").alias("id")).agg(F.sum("size").alias("_inc"))
+    moved = hop(state, n).select("id", "parent", F.col("_j").alias("j"), "size")
+    return moved.unionByName(state.where("j IS NULL")).join(inc, "id", "left").withColumn("size", F.col("size") + F.coalesce("_inc", F.lit(0))).drop("_inc")
+
+
+def _lowered(pos: DataFrame, n: int) -> DataFrame:
+    """One doubling downward: the offset of the node a jump lands on is added."""
+    moved = hop(pos, n, "lo").select("id", "parent", F.col("_j").alias("j"), "size", (F.col("lo") + F.col("_lo")).alias("lo"))
+    return moved.unionByName(pos.where("j IS NULL"))
+
+
+def _from_ranges(nodes: DataFrame) -> DataFrame:
+    """Root and depth of every node from the ranges: sums over the preorder, block by block.
+
+    The window within a block sees at most BLOCK nodes (and the ends of ranges there), the one
+    over blocks a row per BLOCK nodes.
+    """
+    begins = nodes.select("lo", "id", "parent_id", "size", "hi", F.lit(0).alias("ends"), F.when(F.col("parent_id").isNull(), F.struct("lo", "id")).alias("root"))
+    null = F.lit(None).cast("long")
+    ends = nodes.groupBy(F.col("hi").alias("lo")).agg(F.count(F.lit(1)).cast("int").alias("ends"))
+    events = begins.unionByName(ends.select("lo", null.alias("id"), null.alias("parent_id"), null.alias("size"), null.alias("hi"), "ends", F.lit(None).cast("struct<lo:bigint,id:bigint>").alias("root")))
+    events = events.withColumn("block", F.floor(F.col("lo") / BLOCK))
+    sums = events.groupBy("block").agg(F.sum("ends").alias("e"), F.max("root").alias("r"))
+    over = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("block", F.coalesce(F.sum("e").over(over), F.lit(0)).alias("_e"), F.max("r").over(over).alias("_r"))
+    # what ends at a place has ended for the node that begins there
+    w = W.partitionBy("block").orderBy("lo", F.col("id").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    seen = events.withColumn("ended", F.sum("ends").over(w)).withColumn("last", F.max("root").over(w)).where("id IS NOT NULL").join(before, "block")
+    return seen.select(
+        "id", "parent_id", F.coalesce("last.id", "_r.id").alias("root_id"), (F.col("lo") - F.col("ended") - F.col("_e")).cast("int").alias("depth"),
+        (F.col("size") - 1).alias("n_descendants"), "lo", "hi", F.lit(False).alias("on_loop"),
+    )
+
+
 def _loops(rest: DataFrame, n: int) -> DataFrame:
     """Of nodes that all have a parent among themselves: the loop each of them leads into.
 
@@ -147,17 +177,39 @@ def _loops(rest: DataFrame, n: int) -> DataFrame:
     return hop(s, n, "m").select("id", F.col("parent").alias("parent_id"), F.col("_m").alias("root_id"), "on_loop")
 
 
+def _numbered(step: int):
+    return lambda x: F.struct(F.lit(step).alias("step"), x.alias("block"))
+
+
 def descendants(tree: DataFrame, of: DataFrame, id_col: str = "id") -> DataFrame:
-    """All (ancestor, descendant, steps) pairs below the ids of ``of``: a range join within trees.
+    """All (ancestor, descendant, steps) pairs below the ids of ``of``: a range join on the nested sets.
 
-    Rows of ``of`` that are no node or lead into a loop give nothing. The result is as long as
-    the answer, there is no pair that is not one.
+    A range is cut into blocks of STEPS nodes at multiples of their length, as long as they fit; a
+    node lies in one block of each length. So every pair meets in exactly one block, no other
+    pair is met, and a block holds at most the longest step of nodes, however large its tree is.
+    Rows of ``of`` that are no node or lead into a loop give nothing.
     """
-    a = of.select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct().join(tree, "id").where("depth >= 0")
-    a = a.select(F.col("id").alias("ancestor_id"), "root_id", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("depth").alias("_d"))
-    d = tree.where("depth >= 0").select(F.col("id").alias("descendant_id"), "root_id", "lo", "depth")
-    j = a.join(d, "root_id").where((F.col("lo") > F.col("_lo")) & (F.col("lo") < F.col("_hi")))
-    return j.select("ancestor_id", "descendant_id", (F.col("depth") - F.col("_d")).alias("steps"))
+    ok = tree.where("depth >= 0").select("id", "lo", "hi", "depth")
+    a = of.select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct().join(ok, "id").where("hi - lo > 1")
+    a = a.select(F.col("id").alias("ancestor_id"), (F.col("lo") + 1).alias("b"), "hi", F.col("depth").alias("_d"))
+    up = lambda c, s: F.ceil(c / s).cast("long")
+    down = lambda c, s: F.floor(c / s).cast("long")
+    parts, outer = [], None
+    for s in sorted(STEPS, reverse=True):
+        first, last = up(F.col("b"), s), down(F.col("hi"), s)  # blocks [first, last) of this length fit
+        between = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+        if outer is None:
+            blocks = between(first, last)
+        else:
+            # what the longer blocks leave at both ends, or all where no longer one fits
+            lo, hi, t = outer
+            blocks = F.when(lo < hi, F.concat(between(first, lo * (t // s)), between(hi * (t // s), last))).otherwise(between(first, last))
+        parts.append(F.transform(blocks, _numbered(s)))
+        outer = (first, last, s)
+    a = a.select("ancestor_id", "_d", F.explode(F.concat(*parts)).alias("k")).select("ancestor_id", "_d", "k.step", "k.block")
+    at = F.explode(F.array(*[F.struct(F.lit(s).alias("step"), down(F.col("lo"), s).alias("block")) for s in STEPS]))
+    d = ok.where("depth > 0").select(F.col("id").alias("descendant_id"), "depth", at.alias("k")).select("descendant_id", "depth", "k.step", "k.block")
+    return a.join(d, ["step", "block"]).select("ancestor_id", "descendant_id", (F.col("depth") - F.col("_d")).alias("steps"))
 
 
 def loops_cut(tree: DataFrame) -> DataFrame:
@@ -169,12 +221,6 @@ def loops_cut(tree: DataFrame) -> DataFrame:
     cols = [c for c in tree.columns if c != "path"]
     # parents on the loop are no ids of these links, so their children count as roots
     below = hierarchy(tree.where("depth < 0 AND NOT on_loop").select("id", "parent_id"), "id", "parent_id")
-    return tree.where("depth >= 0").select(*cols).unionByName(below.select(*cols))
-
-
-def ranges_to_ancestors(tree: DataFrame) -> DataFrame:
-    """Parent recovered from the ranges alone: the smallest enclosing range. For checks."""
-    w = W.partitionBy("id").orderBy(F.desc("a_lo"))
-    a = tree.where("depth >= 0").select("root_id", F.col("id").alias("a_id"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    j = tree.where("depth > 0").join(a, "root_id").where("a_lo < lo AND lo < a_hi")
-    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("id", F.col("a_id").alias("parent_by_range"))
+    trees = tree.where("depth >= 0").select(*cols)
+    shift = below.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("_shift"))  # the ranges go on from one another
+    return below.select(*cols).unionByName(trees.join(F.broadcast(shift)).withColumn("lo", F.col("lo") + F.col("_shift")).withColumn("hi", F.col("hi") + F.col("_shift")).select(*cols))
