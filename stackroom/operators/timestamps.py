@@ -3,9 +3,10 @@
 ``readings`` lists every way a value can be read as an array of (format, utc_ms, cost),
 entirely in SQL expressions. ``choose`` picks one reading per value by Viterbi over the
 record order of each source: it pays each reading's own cost, a penalty for changing the
-format from one record to the next and one for going back in time. A stated convention
-(month first with slashes, day first with dots) is a cost difference larger than any
-penalty can outweigh, so neighbours only settle what the conventions leave open.
+format from one record to the next and one for going back in time. Every valid reading takes
+part. What the stated conventions fix (month first with slashes, day first with dots) is a cost
+no penalty outweighs; what they leave open (which of its zones an abbreviation means) costs
+about as much as a switch or a jump, so that the neighbours decide it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from stackroom.functions.text import let
 from stackroom.operators.thesaurus import SPACE
 from stackroom.session import cut
 
-#: Cost of a reading against the stated convention. More than two switches and two jumps.
+#: Cost of a reading that a stated convention rules out. More than two switches and two jumps.
 AGAINST = 1000.0
 SWITCH, JUMP = 1.0, 2.0
 
@@ -186,17 +187,6 @@ def readings(value: Column, zone: Column, known_zones: list[str], plain: bool =
     return F.coalesce(got, empty)
 
 
-def prune(cands: Column) -> Column:
-    """Readings that no course of the neighbours could make the best one are dropped.
-
-    A reading changes at most two switches and two jumps, so one that costs more than the
-    cheapest by that much is never chosen; most values keep one reading. Equal instants of
-    different readings are one.
-    """
-    least = F.array_min(F.transform(cands, lambda c: c["cost"]))
-    return F.filter(cands, lambda c: c["cost"] <= least + 2 * (SWITCH + JUMP))
-
-
 def _move(f0: list, t0: list, f1: list, t1: list) -> np.ndarray:
     """Transition costs between the readings of two neighbouring records."""
     sw = np.array([[SWITCH * (a != b) for b in f1] for a in f0])
@@ -353,7 +343,7 @@ def choose(df: DataFrame, source: str, order: str, cands: str) -> DataFrame:
     listed first. A null source counts as a source of its own, named ''.
     """
     spark = df.sparkSession
-    got = df.select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(order).cast("long").alias("ord"), prune(F.col(cands)).alias("c")).where(F.size("c") > 0)
+    got = df.select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(order).cast("long").alias("ord"), F.col(cands).alias("c")).where(F.size("c") > 0)
     several = lambda f: F.when(F.size("c") > 1, F.col(f"c.{f}"))
     flat = got.select(
         "source", "ord", F.size("c").alias("n"), F.col("c")[0]["fmt"].alias("fmt"), F.col("c")[0]["utc_ms"].alias("utc_ms"),

@@ -72,3 +72,13 @@ def test_viterbi_is_optimal_across_partitions(spark, seed):
 def test_empty(spark):
     df = spark.createDataFrame([], "source string, k long, c array<struct<fmt:string,utc_ms:long,cost:double>>")
     assert S.choose(df, "source", "k", "c").count() == 0
+
+
+def test_neighbours_decide(spark):
+    """An abbreviation of three zones is read so that time does not go back, whatever its usual zone."""
+    zones = S.zone_ids(spark)
+    told = ["2024-03-01T08:30:00Z", "2024-03-01T10:00:00 IST", "2024-03-01T09:30:00Z"]
+    ms = lambda h, m: (19783 * 24 * 60 + h * 60 + m) * 60000
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(told)] + [("t", 0, told[1])], "src string, n long, v string")
+    got = S.choose(df.withColumn("c", S.readings(F.col("v"), F.lit(None).cast("string"), zones)), "src", "n", "c")
+    assert [r.utc_ms for r in got.orderBy("source", "ord").collect()] == [ms(8, 30), ms(9, 0), ms(9, 30), ms(4, 30)]
