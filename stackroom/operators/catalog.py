@@ -121,12 +121,12 @@ def size_classes(tags: DataFrame) -> DataFrame:
 
 
 def tag_weights(tags: DataFrame, total: DataFrame) -> DataFrame:
-    """Frequency, recency, importance and specificity of tags, combined, and the stage of life."""
+    """Frequency, recency, importance and specificity of tags, combined, and the stage of life. Unknown ages and lengths count as 0 points."""
     g = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("c"), F.avg("age").alias("a"), F.avg("words").alias("w")).join(F.broadcast(total), F.lit(True))
     x = g.select(
-        "tag", "c", F.least(F.lit(100.0), F.col("c") * 10.0).alias("frequency"), F.greatest(F.lit(0.0), 100 - F.col("a") / 3).alias("recency"),
-        F.least(F.lit(100.0), F.col("w") / 50).alias("importance"), F.least(F.lit(100.0), F.log(F.col("total") / F.col("c")) * 30).alias("specificity"), "a", "w",
-    ).where("a IS NOT NULL AND w IS NOT NULL")
+        "tag", "c", F.least(F.lit(100.0), F.col("c") * 10.0).alias("frequency"), F.coalesce(F.greatest(F.lit(0.0), 100 - F.col("a") / 3), F.lit(0.0)).alias("recency"),
+        F.coalesce(F.least(F.lit(100.0), F.col("w") / 50), F.lit(0.0)).alias("importance"), F.least(F.lit(100.0), F.log(F.col("total") / F.col("c")) * 30).alias("specificity"),
+    )
     stage = F.when((F.col("c") <= 2) & (F.col("recency") > 70), "emerging").when((F.col("c") >= 5) & (F.col("recency") > 50), "mature").when(F.col("recency") < 30, "declining").otherwise("growing")
     return x.withColumn("weight", 0.4 * F.col("frequency") + 0.2 * F.col("recency") + 0.2 * F.col("importance") + 0.2 * F.col("specificity")).withColumn("stage", stage)
 
@@ -172,9 +172,9 @@ def breadcrumbs(a: DataFrame) -> DataFrame:
 
 
 def sitemap(a: DataFrame, per_file: int) -> DataFrame:
-    """Paths by priority with the number of their sitemap file."""
+    """Paths by priority with the number of their sitemap file. Unknown numbers count as 0; articles without path are left out."""
     yes = lambda c: c.cast("int") * 0.1
-    known = a.where("words IS NOT NULL AND inlinks IS NOT NULL AND outlinks IS NOT NULL")
+    known = a.where("path IS NOT NULL").na.fill(0, ["words", "inlinks", "outlinks"])
     p = known.select("path", F.round(F.least(F.lit(1.0), 0.5 + yes(F.size(F.split("path", "/")) <= 4) + yes(F.col("words") > 300) + yes(F.col("inlinks") > 2) + yes(F.col("outlinks") > 2)), 2).alias("priority"))
     # ranks within a priority and the rows before it: the window never holds more than one priority
     per = p.groupBy("priority").agg(F.count(F.lit(1)).alias("c"))

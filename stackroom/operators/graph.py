@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from itertools import count
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,12 +216,12 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return per.join(F.broadcast(m2), F.lit(True)).agg(F.sum(q).alias("modularity"), F.count(F.lit(1)).alias("n_communities"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """(source, id, distance) for nodes within ``most`` directed steps of each source."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, id, distance) for nodes within ``most`` directed steps of each source; without it for all it reaches."""
     e = cut(simple(edges))
     seen = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")).distinct())
     front = seen
-    for d in range(1, most + 1):
+    for d in count(1) if most is None else range(1, most + 1):
         step = front.join(e, front.id == e.src).select("source", F.col("dst").alias("id")).distinct()
         front = cut(step.join(seen, ["source", "id"], "left_anti").withColumn("distance", F.lit(d)))
         if not front.limit(1).count():
@@ -228,8 +230,8 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def closeness(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """(id, reach, closeness, harmonic) of the sources over distances up to ``most``."""
+def closeness(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, reach, closeness, harmonic) of the sources over distances up to ``most``, without it over all."""
     d = distances(edges, sources, most).where("distance > 0")
     return d.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("reach"), (F.count(F.lit(1)) / F.sum("distance")).alias("closeness"), F.sum(1 / F.col("distance")).alias("harmonic"))
 
@@ -251,7 +253,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done.unionByName(left.withColumn("level", F.lit(-1)))
 
 
-def affected(edges: DataFrame, changed: DataFrame, most: int = 50) -> DataFrame:
+def affected(edges: DataFrame, changed: DataFrame, most: int | None = None) -> DataFrame:
     """Nodes that depend on changed ones, directly or not: (id, steps). Edges point from dependent to dependency."""
     back = simple(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     d = distances(back, changed, most).where("distance > 0")

@@ -118,11 +118,11 @@ def thesaurus_triples(spark, d):
     return t.select("term_id", F.explode(rel).alias("r")).select("r.relation", "term_id", "r.target").where("target IS NOT NULL AND trim(target) <> ''")
 
 
-@query(f"WITH {CUR}, w AS (SELECT term_id, term, unnest(list_distinct(string_split_regex(lower(term), '[ _-]+'))) AS word FROM cur), q AS (SELECT * FROM w WHERE term_id <= 20) SELECT q.term_id AS query_id, w.term_id AS term_id, count(*) AS common FROM q JOIN w USING (word) WHERE q.term_id <> w.term_id AND word <> '' GROUP BY ALL")
+@query(f"WITH {CUR}, w AS (SELECT term_id, term, unnest(list_distinct(string_split_regex(lower(term), '[ _-]+'))) AS word FROM cur), q AS (SELECT * FROM w WHERE term_id % 100 = 0) SELECT q.term_id AS query_id, w.term_id AS term_id, count(*) AS common FROM q JOIN w USING (word) WHERE q.term_id <> w.term_id AND word <> '' GROUP BY ALL")
 def terms_sharing_words(spark, d):
-    """Terms that share a word with each of the first twenty curated terms."""
+    """Terms that share a word with each term whose id is divisible by 100."""
     w = _cur(spark, d).select("term_id", F.explode(F.array_distinct(F.split(F.lower("term"), "[ _-]+"))).alias("word")).where("word <> ''")
-    q = w.where("term_id <= 20").withColumnRenamed("term_id", "query_id")
+    q = w.where("term_id % 100 = 0").withColumnRenamed("term_id", "query_id")
     return q.join(w, "word").where("query_id <> term_id").groupBy("query_id", "term_id").agg(F.count(F.lit(1)).alias("common"))
 
 

@@ -172,9 +172,9 @@ def tag_cloud_linear(spark, d):
 
 
 @query(f"""WITH {ART}, {TAGS}, n AS (SELECT count(*) AS total FROM art), g AS (SELECT tag, count(*) AS c, avg(age) AS a, avg(words) AS w FROM tg GROUP BY tag),
-x AS (SELECT tag, c, least(100, 10 * c) AS frequency, greatest(0, 100 - a / 3) AS recency, least(100, w / 50) AS importance, 30 * ln(total / c) AS spec FROM g, n)
+x AS (SELECT tag, c, least(100, 10 * c) AS frequency, greatest(0, coalesce(100 - a / 3, 0)) AS recency, least(100, coalesce(w / 50, 0)) AS importance, 30 * ln(total / c) AS spec FROM g, n)
 SELECT tag, round(0.4::DOUBLE * frequency + 0.2::DOUBLE * recency + 0.2::DOUBLE * importance + 0.2::DOUBLE * least(100, spec), 6) AS weight,
-CASE WHEN c <= 2 AND recency > 70 THEN 'emerging' WHEN c >= 5 AND recency > 50 THEN 'mature' WHEN recency < 30 THEN 'declining' ELSE 'growing' END AS stage FROM x WHERE recency IS NOT NULL AND importance IS NOT NULL""")
+CASE WHEN c <= 2 AND recency > 70 THEN 'emerging' WHEN c >= 5 AND recency > 50 THEN 'mature' WHEN recency < 30 THEN 'declining' ELSE 'growing' END AS stage FROM x""")
 def tag_weights(spark, d):
     a = arts(spark, d)
     return C.tag_weights(C.article_tags(a), a.agg(F.count(F.lit(1)).alias("total"))).select("tag", r6(F.col("weight"), "weight"), "stage")
@@ -273,7 +273,7 @@ def freshness(spark, d):
     return a.select("id", C.freshness(F.col("age")).alias("freshness"), C.change_frequency(F.col("age")).alias("changefreq"))
 
 
-@query(f"""WITH {ART}, p AS (SELECT id, path, round(least(1.0, 0.5 + 0.1 * (len(string_split(path, '/')) <= 4)::INT + 0.1 * (words > 300)::INT + 0.1 * (inlinks > 2)::INT + 0.1 * (outlinks > 2)::INT), 2)::DOUBLE AS priority FROM art WHERE words IS NOT NULL AND inlinks IS NOT NULL AND outlinks IS NOT NULL)
+@query(f"""WITH {ART}, p AS (SELECT id, path, round(least(1.0, 0.5 + 0.1 * (len(string_split(path, '/')) <= 4)::INT + 0.1 * (coalesce(words, 0) > 300)::INT + 0.1 * (coalesce(inlinks, 0) > 2)::INT + 0.1 * (coalesce(outlinks, 0) > 2)::INT), 2)::DOUBLE AS priority FROM art WHERE path IS NOT NULL)
 SELECT path, priority, ((row_number() OVER (ORDER BY priority DESC, path) - 1) // 1000)::INT AS sitemap FROM p""")
 def sitemap_rows(spark, d):
     return C.sitemap(arts(spark, d), 1000)

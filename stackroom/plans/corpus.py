@@ -185,9 +185,9 @@ def boolean_nested(spark, d):
     return _boolean(spark, d, "(server OR valve) AND NOT (module AND open)")
 
 
-@query(f"WITH {TOK}, v AS (SELECT DISTINCT word FROM tok WHERE regexp_matches(word, '^[a-z]+$')) SELECT word, levenshtein(word, 'modul')::INT AS distance FROM v WHERE levenshtein(word, 'modul') <= 2")
+@query(f"WITH {TOK}, v AS (SELECT DISTINCT word FROM tok) SELECT word, levenshtein(word, 'modul')::INT AS distance FROM v WHERE levenshtein(word, 'modul') <= 2")
 def fuzzy_vocabulary(spark, d):
-    v = R.tokens(docs(spark, d), "doc_id", "text").select("word").distinct().where(F.col("word").rlike("^[a-z]+$"))
+    v = R.tokens(docs(spark, d), "doc_id", "text").select("word").distinct()
     return R.fuzzy_words(v, "modul")
 
 

@@ -174,37 +174,38 @@ def modularity(spark, d):
     return G.modularity(e, G.label_propagation(n, e, 4)).select(r6("modularity"), "n_communities")
 
 
-START = "(SELECT DISTINCT src AS id FROM e WHERE contains(src, 'steam'))"
-BFS = f"WITH RECURSIVE {E}, b AS (SELECT id AS source, id, 0 AS distance FROM {START} UNION SELECT b.source, e.dst, b.distance + 1 FROM b JOIN e ON b.id = e.src WHERE b.distance < 4), m AS (SELECT source, id, min(distance)::INT AS distance FROM b GROUP BY ALL)"
+#: Sources of per-source searches: the articles whose id is divisible by 100, followed until no path goes further.
+START = "(SELECT DISTINCT path AS id FROM orphans_analysis WHERE record_id % 100 = 0 AND path IS NOT NULL)"
+BFS = f"WITH RECURSIVE {E}, b(source, id, distance) AS (SELECT id AS source, id, 0 AS distance FROM {START} UNION SELECT b.source, e.dst, b.distance + 1 FROM b JOIN e ON b.id = e.src WHERE b.distance < (SELECT count(*) FROM nd)), m AS (SELECT source, id, min(distance)::INT AS distance FROM b GROUP BY ALL)"
 
 
-def _start(e):
-    return e.select(F.col("src").alias("id")).where(F.col("id").contains("steam")).distinct()
+def _start(spark, d):
+    return table(spark, d, "orphans_analysis").where("record_id % 100 = 0").select(F.col("path").alias("id")).where("id IS NOT NULL").distinct()
 
 
 @query(f"{BFS} SELECT * FROM m")
 def shortest_distances(spark, d):
     e = net(spark, d)[1]
-    return G.distances(e, _start(e), 4)
+    return G.distances(e, _start(spark, d))
 
 
 @query(f"{BFS} SELECT source AS id, count(*) AS reach, round(count(*) / sum(distance), 6) AS closeness, round(sum(1 / distance), 6) AS harmonic FROM m WHERE distance > 0 GROUP BY source")
 def closeness_harmonic(spark, d):
     e = net(spark, d)[1]
-    return G.closeness(e, _start(e), 4).select("id", "reach", r6("closeness"), r6("harmonic"))
+    return G.closeness(e, _start(spark, d)).select("id", "reach", r6("closeness"), r6("harmonic"))
 
 
-@query(f"{BFS} SELECT id, round(sum(0.5::DOUBLE ** distance), 6) AS influence FROM m WHERE distance BETWEEN 1 AND 3 GROUP BY id")
+@query(f"{BFS} SELECT id, round(sum(0.5::DOUBLE ** distance), 6) AS influence FROM m WHERE distance > 0 GROUP BY id")
 def influence_spread(spark, d):
     e = net(spark, d)[1]
-    x = G.distances(e, _start(e), 3).where("distance > 0")
+    x = G.distances(e, _start(spark, d)).where("distance > 0")
     return x.groupBy("id").agg(F.round(F.sum(F.pow(F.lit(0.5), F.col("distance"))), 6).alias("influence"))
 
 
-@query(f"WITH RECURSIVE {E}, b AS (SELECT dst AS id, 0 AS steps, dst AS root FROM e WHERE contains(dst, 'steam') UNION SELECT e.src, b.steps + 1, b.root FROM b JOIN e ON b.id = e.dst WHERE b.steps < 6), m AS (SELECT root, id, min(steps) AS steps FROM b GROUP BY ALL) SELECT id, min(steps)::INT AS steps FROM m WHERE steps > 0 GROUP BY id")
+@query(f"WITH RECURSIVE {E}, b AS (SELECT id, 0 AS steps, id AS root FROM {START} UNION SELECT e.src, b.steps + 1, b.root FROM b JOIN e ON b.id = e.dst WHERE b.steps < (SELECT count(*) FROM nd)), m AS (SELECT root, id, min(steps) AS steps FROM b GROUP BY ALL) SELECT id, min(steps)::INT AS steps FROM m WHERE steps > 0 GROUP BY id")
 def affected_files(spark, d):
     e = net(spark, d)[1]
-    return G.affected(e, e.select(F.col("dst").alias("id")).where(F.col("id").contains("steam")).distinct(), 6)
+    return G.affected(e, _start(spark, d))
 
 
 # curated prerequisite-like graph without cycles: from newer to older articles only

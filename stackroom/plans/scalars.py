@@ -117,9 +117,9 @@ def file_sizes(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), X.file_size(F.col("n_chars").cast("double") * 3.7).alias("size"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents""")
+@query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents""")
 def html_entities(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.html_escape(F.expr("left(text, 200)")).alias("escaped"))
+    return table(spark, d, "documents").select("doc_id", X.html_escape(F.col("text")).alias("escaped"))
 
 
 @query("""WITH w AS (SELECT DISTINCT p_brand AS b FROM part) SELECT b, CASE WHEN length(b) > 0 THEN lower(b) = reverse(lower(b)) END AS palindrome, array_to_string(list_sort(list_filter(string_split(lower(b), ''), lambda c: c <> ' ')), '') AS letters FROM w""")

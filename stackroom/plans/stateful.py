@@ -106,10 +106,12 @@ def backup_chain(spark, d):
     return I.backup_chain(s).select("id", "kind")
 
 
-@query("WITH a AS (SELECT * FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT * FROM customer WHERE c_custkey % 3 = 0) SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN -1.0::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN -1.0::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT c_custkey + 1000000, -2.0::DOUBLE FROM customer WHERE c_custkey % 7 = 0")
 def keyed_upsert(spark, d):
+    """All customers as state; a third is changed, a seventh comes new under other keys."""
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    return I.upsert(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(-1.0)), "c_custkey")
+    new = c.where("c_custkey % 7 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit(-2.0).alias("c_acctbal"))
+    return I.upsert(c, c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(-1.0)).unionByName(new), "c_custkey")
 
 
 @query("SELECT n_regionkey, s_suppkey, s_acctbal FROM (SELECT n_regionkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_acctbal DESC) AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE r <= 10")
