@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stackroom.skew import ranked
+
 from stackroom.tables import current_articles
 
 
@@ -176,11 +178,8 @@ def sitemap(a: DataFrame, per_file: int) -> DataFrame:
     yes = lambda c: c.cast("int") * 0.1
     known = a.where("path IS NOT NULL").na.fill(0, ["words", "inlinks", "outlinks"])
     p = known.select("path", F.round(F.least(F.lit(1.0), 0.5 + yes(F.size(F.split("path", "/")) <= 4) + yes(F.col("words") > 300) + yes(F.col("inlinks") > 2) + yes(F.col("outlinks") > 2)), 2).alias("priority"))
-    # ranks within a priority and the rows before it: the window never holds more than one priority
-    per = p.groupBy("priority").agg(F.count(F.lit(1)).alias("c"))
-    before = per.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy(F.desc("priority")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    r = p.withColumn("r", F.row_number().over(W.partitionBy("priority").orderBy("path"))).join(F.broadcast(before), "priority")
-    return r.select("path", "priority", F.floor((F.col("r") + F.col("before") - 1) / per_file).cast("int").alias("sitemap"))
+    r = ranked(p, F.desc("priority"), F.col("path"))
+    return r.select("path", "priority", F.floor(F.col("_rank") / per_file).cast("int").alias("sitemap"))
 
 
 def bibtex(a: DataFrame) -> DataFrame:
@@ -192,9 +191,14 @@ def bibtex(a: DataFrame) -> DataFrame:
 
 def learning_path(a: DataFrame) -> DataFrame:
     """Articles of each category from easy to hard, with their neighbours (-1: none)."""
-    w = W.partitionBy("category").orderBy("difficulty_score", "id")
-    x = a.where("difficulty_score IS NOT NULL")
-    return x.select("category", "id", F.row_number().over(w).alias("position"), F.col("difficulty_score").alias("score"), F.lag("id", 1, -1).over(w).alias("previous_id"), F.lead("id", 1, -1).over(w).alias("next_id"))
+    r = ranked(a.where("difficulty_score IS NOT NULL").select("category", "id", "difficulty_score"), F.col("category"), F.col("difficulty_score"), F.col("id"))
+    first = r.groupBy("category").agg(F.min("_rank").alias("_first"))
+    beside = lambda k, name: r.select("category", (F.col("_rank") + k).alias("_rank"), F.col("id").alias(name))
+    x = r.join(F.broadcast(first), "category").join(beside(1, "p"), ["category", "_rank"], "left").join(beside(-1, "n"), ["category", "_rank"], "left")
+    return x.select(
+        "category", "id", (F.col("_rank") - F.col("_first") + 1).cast("int").alias("position"), F.col("difficulty_score").alias("score"),
+        F.coalesce("p", F.lit(-1).cast("long")).alias("previous_id"), F.coalesce("n", F.lit(-1).cast("long")).alias("next_id"),
+    )
 
 
 def value_at(a: DataFrame, col: str, shares: list[tuple[int, int]]) -> list:

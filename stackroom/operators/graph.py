@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stackroom.operators.hierarchy import hop
 from stackroom.session import cut
+from stackroom.skew import pairs_within
 
 #: Rounds between cuts of the lineage.
 CUT_EVERY = 5
@@ -106,6 +107,20 @@ def katz(nodes: DataFrame, edges: DataFrame, rounds: int = 10, alpha: float = 0.
     return x
 
 
+def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """(id, eigenvector): x = (A + I) x on the undirected graph, L2-normalised, a fixed number of rounds; A + I never swings."""
+    u = cut(undirected(edges))
+    x = cut(nodes.select("id", F.lit(1.0).alias("x")))
+    for r in range(rounds):
+        got = u.join(x.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("v"))
+        y = x.join(got, "id", "left").select("id", (F.col("x") + F.coalesce("v", F.lit(0.0))).alias("y"))
+        norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("l"))
+        x = y.join(F.broadcast(norm)).select("id", (F.col("y") / F.col("l")).alias("x"))
+        if r % 2 == 1 or r == rounds - 1:
+            x = cut(x)
+    return x.select("id", F.col("x").alias("eigenvector"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): least id of the weakly connected component, in a logarithmic number of rounds.
 
@@ -160,9 +175,11 @@ def mutual(edges: DataFrame) -> DataFrame:
 
 def _paired(edges: DataFrame, key: str, other: str, least: int, of: DataFrame | None) -> DataFrame:
     e = simple(edges).select(F.col(key).alias("k"), F.col(other).alias("o"))
-    left = e.join(of.select(F.col("id").alias("o")).distinct(), "o", "left_semi") if of is not None else e
-    j = left.select("k", F.col("o").alias("a")).join(e.select("k", F.col("o").alias("b")), "k")
-    j = j.where("a <> b") if of is not None else j.where("a < b")
+    if of is None:
+        j = pairs_within(e, "k", "o")
+    else:
+        left = e.join(of.select(F.col("id").alias("o")).distinct(), "o", "left_semi")
+        j = left.select("k", F.col("o").alias("a")).join(e.select("k", F.col("o").alias("b")), "k").where("a <> b")
     return j.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 

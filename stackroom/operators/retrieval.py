@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.functions import text as T
+from stackroom.skew import lookup
 
 
 def tokens(docs: DataFrame, doc: str, text: str, **how) -> DataFrame:
@@ -68,7 +69,8 @@ def tfidf(docs: DataFrame, doc: str, text: str, mode: str = "plain", normalise:
     """(doc, word, weight) with tf as a share of the document (or raw) times idf."""
     tc = term_counts(docs, doc, text, **how)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    j = tc.join(document_frequencies(tc).select("word", "df"), "word").join(F.broadcast(n), F.lit(True))
+    # the commonest words have a row per document: they are spread over several tasks
+    j = lookup(tc, document_frequencies(tc).select("word", "df"), "word", "inner").join(F.broadcast(n), F.lit(True))
     tf = F.col("tf") / F.col("dl") if normalise else F.col("tf")
     return j.select("doc", "word", (tf * idf(F.col("n"), F.col("df"), mode)).alias("weight"))
 

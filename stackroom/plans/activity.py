@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stackroom.operators import sequence as S
+from stackroom.skew import pairs_within
 from stackroom.tables import table
 
 QUERIES: dict = {}
@@ -162,10 +163,9 @@ def monthly_activity(spark, d):
 
 @query(f"""WITH {F_}, p AS (SELECT DISTINCT author, path FROM f WHERE author IS NOT NULL AND path IS NOT NULL) SELECT a.author AS a, b.author AS b, count(*) AS n_files FROM p a JOIN p b ON a.path = b.path AND a.author < b.author GROUP BY ALL ORDER BY n_files DESC, a, b LIMIT 10""")
 def collaboration_pairs(spark, d):
-    """Author pairs by common files, from each file's own author set."""
-    per = files(spark, d).where("author IS NOT NULL AND path IS NOT NULL").groupBy("path").agg(F.sort_array(F.collect_set("author")).alias("s"))
-    pair = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return per.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(n("n_files")).orderBy(F.desc("n_files"), "a", "b").limit(10)
+    """Author pairs by common files; a file of many authors is cut into blocks."""
+    p = files(spark, d).where("author IS NOT NULL AND path IS NOT NULL").select("path", "author").distinct()
+    return pairs_within(p, "path", "author").groupBy("a", "b").agg(n("n_files")).orderBy(F.desc("n_files"), "a", "b").limit(10)
 
 
 FK = "CASE WHEN path IS NULL THEN 'unknown' WHEN contains(lower(path), '/index/') THEN 'index' WHEN regexp_matches(lower(path), '\\.(md|markdown)$') THEN 'article' WHEN regexp_matches(lower(path), '\\.(json|ya?ml|toml|cfg|ini)$') THEN 'config' ELSE 'other' END"
@@ -185,9 +185,12 @@ def change_categories(spark, d):
 @query(f"WITH {F_}, t AS (SELECT path, loaded_at, row_number() OVER (PARTITION BY path ORDER BY loaded_at DESC, change_id DESC) AS k, lag(loaded_at) OVER (PARTITION BY path ORDER BY loaded_at, change_id) AS before FROM f WHERE path IS NOT NULL), g AS (SELECT path, avg((epoch_us(loaded_at) - epoch_us(before)) / 86400000000) AS days FROM t WHERE k <= 5 AND before IS NOT NULL GROUP BY path) SELECT path, round(days, 6) AS mean_days, CASE WHEN days < 1 THEN 'always' WHEN days < 7 THEN 'daily' WHEN days < 30 THEN 'weekly' WHEN days < 90 THEN 'monthly' WHEN days < 365 THEN 'yearly' ELSE 'never' END AS changefreq FROM g")
 def change_frequency(spark, d):
     """Mean of the five most recent intervals of each file."""
-    up, down = W.partitionBy("path").orderBy("loaded_at", "change_id"), W.partitionBy("path").orderBy(F.desc("loaded_at"), F.desc("change_id"))
-    t = files(spark, d).where("path IS NOT NULL").select("path", "loaded_at", F.row_number().over(down).alias("k"), F.lag("loaded_at").over(up).alias("before"))
-    g = t.where("k <= 5 AND before IS NOT NULL").groupBy("path").agg(F.avg((F.unix_micros("loaded_at") - F.unix_micros("before")) / 86400000000).alias("days"))
+    f = files(spark, d).where("path IS NOT NULL").select("path", "loaded_at", "change_id", F.pmod(F.xxhash64("change_id"), F.lit(64)).alias("salt"))
+    newest = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("loaded_at"), F.desc("change_id")))
+    # the six newest of each salted part of a file, then of the file: five intervals reach from the first to the sixth
+    six = f.withColumn("k", newest("path", "salt")).where("k <= 6").withColumn("k", newest("path")).where("k <= 6")
+    g = six.groupBy("path").agg((F.count(F.lit(1)) - 1).alias("n"), F.max("loaded_at").alias("b"), F.min("loaded_at").alias("a")).where("n > 0")
+    g = g.withColumn("days", (F.unix_micros("b") - F.unix_micros("a")) / 86400000000 / F.col("n"))
     x = F.col("days")
     c = F.when(x < 1, "always").when(x < 7, "daily").when(x < 30, "weekly").when(x < 90, "monthly").when(x < 365, "yearly").otherwise("never")
     return g.select("path", r6(x, "mean_days"), c.alias("changefreq"))

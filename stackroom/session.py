@@ -82,7 +82,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: row order and partitions are kept, lineage ends here."""
+    """Reliable checkpoint: row order and partitions are kept, lineage ends here. Runs a job."""
     spark = df.sparkSession
     d = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -94,9 +94,29 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once as compressed columnar files in the shared folder and read them back.
 
     For intermediate results that several branches of a plan need: the branches then scan
-    the table instead of computing it again, and pruned columns are not read at all.
+    the table instead of computing it again, and pruned columns are not read at all. Runs a job;
+    the files are removed by ``release`` or when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables written so far, once their results are no longer needed; returns how many."""
+    n = 0
+    while _written:
+        path = _written.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+        except Exception:  # the session has ended: the folder is the cluster's to clear
+            return n
+    return n
