@@ -22,8 +22,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Per term the path, depth, root, number of terms below and the nested-set range."""
-    return _tree(spark, d, True).withColumnRenamed("id", "term_id")
+    """Per term the path, depth, root, number of terms below and the width of its nested-set range."""
+    t = _tree(spark, d, True)
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    return t.select(F.col("id").alias("term_id"), "parent_id", "root_id", "depth", "n_descendants", (F.col("hi") - F.col("lo")).alias("width"), "on_loop", path.alias("path"))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -140,6 +142,9 @@ UNION ALL SELECT 'toc_validation_report', report_id, file, coalesce(b.link.url,
 
 SQL: dict[str, str] = {
     "p1_found": f"WITH RECURSIVE {WALK} SELECT term_id, CASE WHEN looped THEN list_min(seen[list_position(seen, node):]) ELSE node END AS root_id, (CASE WHEN looped THEN -1 ELSE len(seen) - 1 END)::INT AS depth FROM ends",
+    "p1_hierarchy": f"""WITH RECURSIVE {WALK}, ring AS (SELECT DISTINCT unnest(seen[list_position(seen, node):]) AS node FROM ends WHERE looped), below AS (SELECT node, count(*) AS n FROM walk WHERE len(seen) > 1 AND NOT looped GROUP BY node)
+SELECT e.term_id, p.parent AS parent_id, CASE WHEN looped THEN list_min(seen[list_position(seen, e.node):]) ELSE e.node END AS root_id, (CASE WHEN looped THEN -1 ELSE len(seen) - 1 END)::INT AS depth, CASE WHEN NOT looped THEN coalesce(n, 0) END AS n_descendants, CASE WHEN NOT looped THEN coalesce(n, 0) + 1 END AS width,
+e.term_id IN (SELECT node FROM ring) AS on_loop, CASE WHEN NOT looped THEN array_to_string(list_reverse(seen), '>') END AS path FROM ends e LEFT JOIN par p USING (term_id) LEFT JOIN below b ON b.node = e.term_id""",
     "p1_descendants": f"""WITH RECURSIVE {WALK}, up AS (SELECT w.node AS ancestor_id, w.term_id AS descendant_id, (len(w.seen) - 1)::INT AS steps FROM walk w JOIN ends e USING (term_id) WHERE NOT e.looped AND len(w.seen) > 1)
 SELECT * FROM up WHERE ancestor_id % 100 = 0""",
     "p1_all_descendants": f"""WITH RECURSIVE {WALK}, ring AS (SELECT DISTINCT unnest(seen[list_position(seen, node):]) AS node FROM ends WHERE looped)

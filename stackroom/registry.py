@@ -23,16 +23,45 @@ def category(name: str) -> str:
     return next((c for c, keys in CATEGORIES if any(k in name for k in keys)), "other")
 
 
+def complexity(n_lines: int | None) -> str:
+    return "unknown" if n_lines is None else "simple" if n_lines < 15 else "medium" if n_lines < 40 else "complex"
+
+
+def seconds(name: str) -> int:
+    """Seconds a query is expected to take, by words in its name."""
+    # Words and seconds.
+    for keys, s in ((("graph", "network"), 30), (("index", "search"), 20), (("analy", "calculate"), 15)):
+        if any(k in name for k in keys):
+            return s
+    return 10
+
+
+def outputs(source: str) -> list[str]:
+    """Formats a source text names as what it writes, in the order of their names."""
+    return [k for k in ("csv", "dot", "html", "json", "latex", "parquet", "xml") if f"write_{k}" in source or f".{k}" in source]
+
+
+def tags(name: str, description: str) -> list[str]:
+    """Words of name and description that tell a query's subject, each once."""
+    known = {k for _, keys in CATEGORIES for k in keys}
+    found = [w for w in name.lower().split("_") + description.lower().split() if any(w.startswith(k) for k in known)]
+    return list(dict.fromkeys(found))
+
+
 def registry(spark: SparkSession, queries: dict[str, Callable]) -> DataFrame:
-    """(name, category, module, description, n_lines) of every query."""
+    """(name, category, module, description, n_lines, complexity, seconds, outputs, tags) of every query."""
     rows = []
     for name, f in sorted(queries.items()):
         try:
-            n = len(inspect.getsource(f).splitlines())
+            source = inspect.getsource(f)
+            n = len(source.splitlines())
         except OSError:
-            n = None
-        rows.append((name, category(name), f.__module__, (inspect.getdoc(f) or "").split("\n")[0], n))
-    return spark.createDataFrame(rows, "name string, category string, module string, description string, n_lines int")
+            source, n = "", None
+        about = (inspect.getdoc(f) or "").split("\n")[0]
+        rows.append((name, category(name), f.__module__, about, n, complexity(n), seconds(name), outputs(source), tags(name, about)))
+    return spark.createDataFrame(
+        rows, "name string, category string, module string, description string, n_lines int, complexity string, seconds int, outputs array<string>, tags array<string>"
+    )
 
 
 def search(reg: DataFrame, text: str) -> DataFrame:
