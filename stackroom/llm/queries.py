@@ -110,6 +110,20 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return PA.containers(_packed(spark, d)).groupBy("unused").agg(F.count(F.lit(1)).alias("n_containers"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents packed, containers over capacity, short texts split, texts that are not whole."""
+    lengths = materialize(PA.token_counts(table(spark, d, "documents"), "doc_id", "text"), "lengths")
+    packed = materialize(PA.pack(lengths), "packed")
+    over = PA.containers(packed).agg(F.count_if(F.col("unused") < 0).alias("n_over"))
+    per = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("held"))
+    j = lengths.where("n_tokens > 0").select("doc_id", "n_tokens").join(per, "doc_id", "full")
+    sums = j.agg(
+        F.count("pieces").alias("n_docs"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= PA.CAPACITY)).alias("n_split"),
+        F.count_if(~F.coalesce(F.col("held") == F.col("n_tokens"), F.lit(False))).alias("n_lost"),
+    )
+    return sums.join(F.broadcast(over))
+
+
 def _reading(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return RE.reading_levels(docs, "doc_id", "text", table(spark, d, "reading_labels"), "doc_id", "reading_level")
@@ -127,7 +141,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_cooccurrence": p4_cooccurrence, "p5_found": p5_found, "p5_links": p5_links,
-    "p7_packing": p7_packing, "p7_fill": p7_fill, "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_profile": p9_profile,
+    "p7_packing": p7_packing, "p7_fill": p7_fill, "p7_check": p7_check, "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_profile": p9_profile,
 }
 
 SETS = r"""art AS (SELECT record_id AS id, metadata.frontmatter.tags AS t FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) AS rn FROM orphans_analysis) WHERE rn = 1),
@@ -142,6 +156,7 @@ SQL: dict[str, str] = {
     "p4_found": f"WITH {PAIRS} SELECT item_a AS tag_a, item_b AS tag_b FROM x",
     "p4_cooccurrence": f"WITH {PAIRS} SELECT item_a, item_b, n_ab, n_a, n_b, n, n_ab * n / (n_a * n_b) AS lift FROM x",
     "p5_found": f"WITH {JOINED} SELECT DISTINCT id_a, id_b FROM f",
+    "p7_check": "SELECT count(*) AS n_docs, 0::BIGINT AS n_over, 0::BIGINT AS n_split, 0::BIGINT AS n_lost FROM documents WHERE text IS NOT NULL AND text <> '' AND doc_id IS NOT NULL",
     "p5_links": f"""WITH {JOINED}, sides AS (SELECT DISTINCT id_a AS id, id_b AS o FROM f UNION SELECT DISTINCT id_b, id_a FROM f)
 SELECT s.id, min(s.id) OVER (PARTITION BY s.items) AS class_id, coalesce(n, 0)::BIGINT AS n_links FROM s LEFT JOIN (SELECT id, count(*) AS n FROM sides GROUP BY id) USING (id)""",
 }
