@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stackroom.session import cut
+from stackroom.session import cut, cut_counted
 from stackroom.skew import HOT_SHARE, bucket_offsets
 
 #: Hashed buckets per parent in the sibling prefix sums.
@@ -65,22 +65,19 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     a node on a loop or below one, root_id is the smallest id of that loop, depth is -1, on_loop
     tells which of both it is, and the other columns are null. Runs jobs while the plan is built.
     """
-    raw = cut(
+    raw, n = cut_counted(
         links.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{parent_col}`").cast("long").alias("p"))
         .where("id IS NOT NULL")
         .groupBy("id")
         .agg(F.min("p").alias("p"))
     )
-    n = raw.count()
     # roots stay out of the join, a parent of many is joined by broadcast
     named = hop(raw.select("id", F.col("p").alias("j")), n)
     base = named.select("id", F.col("j").alias("parent")).join(raw.select("id"), "id", "right")
     size = lambda: F.lit(1).cast("long").alias("size")
-    state = cut(base.select("id", "parent", F.col("parent").alias("j"), size()))
-    live = state.where("j IS NOT NULL").count()
+    state, live = cut_counted(base.select("id", "parent", F.col("parent").alias("j"), size()), "j IS NOT NULL")
     while live:
-        state = cut(_grown(state, n))
-        now = state.where("j IS NOT NULL").count()
+        state, now = cut_counted(_grown(state, n), "j IS NOT NULL")
         if now == live:
             break
         live = now
@@ -95,9 +92,9 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     placed = kids.withColumn("_in", F.coalesce(F.sum("size").over(w), F.lit(0))).join(before, ["top", "parent", "b"])
     lo = F.col("_in") + F.col("_before") + F.when(F.col("top"), 0).otherwise(1)
     parent = F.when(~F.col("top"), F.col("parent"))
-    pos = cut(placed.select("id", parent.alias("parent"), parent.alias("j"), "size", lo.alias("lo")))
-    while pos.where("j IS NOT NULL").count():
-        pos = cut(_lowered(pos, n))
+    pos, left = cut_counted(placed.select("id", parent.alias("parent"), parent.alias("j"), "size", lo.alias("lo")), "j IS NOT NULL")
+    while left:
+        pos, left = cut_counted(_lowered(pos, n), "j IS NOT NULL")
     out = _from_ranges(pos.select("id", F.col("parent").alias("parent_id"), "size", "lo", (F.col("lo") + F.col("size")).alias("hi")))
     if with_path:
         out = cut(out)
@@ -158,8 +155,7 @@ def _loops(rest: DataFrame, n: int) -> DataFrame:
     The image of the 2^k-step map shrinks until it is the set of nodes on loops; the least id
     within 2^k steps, carried along, is then the loop's name once no loop node changes it.
     """
-    s = cut(rest.select("id", "parent", F.col("parent").alias("j"), F.col("id").alias("m")))
-    size = s.count()
+    s, size = cut_counted(rest.select("id", "parent", F.col("parent").alias("j"), F.col("id").alias("m")))
     while True:
         s = cut(hop(s, n, "m").select("id", "parent", F.col("_j").alias("j"), F.least("m", "_m").alias("m")))
         now = s.select("j").distinct().count()
@@ -169,8 +165,8 @@ def _loops(rest: DataFrame, n: int) -> DataFrame:
     ring = s.select(F.col("j").alias("id")).distinct().withColumn("on_loop", F.lit(True))
     s = cut(s.join(ring, "id", "left").withColumn("on_loop", F.coalesce("on_loop", F.lit(False))))
     while True:
-        t = cut(hop(s, n, "m").select("id", "parent", F.col("_j").alias("j"), F.least("m", "_m").alias("m"), "on_loop", (F.col("m") > F.col("_m")).alias("changed")))
-        changed = t.where("on_loop AND changed").count()
+        step = hop(s, n, "m").select("id", "parent", F.col("_j").alias("j"), F.least("m", "_m").alias("m"), "on_loop", (F.col("m") > F.col("_m")).alias("changed"))
+        t, changed = cut_counted(step, "on_loop AND changed")
         s = t.drop("changed")
         if not changed:
             break

@@ -10,7 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every operator relies on; a cluster may set the rest as it likes.
 DEFAULTS = {
@@ -90,6 +91,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows that meet a condition, counted by the job that writes them."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return out, seen.get["n"]
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once as compressed columnar files in the shared folder and read them back.
 
