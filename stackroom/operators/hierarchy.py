@@ -53,7 +53,7 @@ def hop(state: DataFrame, n: int, *values: str) -> DataFrame:
     )
 
 
-def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent", with_path: bool = False) -> DataFrame:
+def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent", with_path: bool = False, off_loops: bool = False) -> DataFrame:
     """Full hierarchy of parent-child rows.
 
     links: one row per node, parent null for a root. Other columns are ignored. Repeated rows
@@ -63,7 +63,9 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
     Returns ``id, parent_id, root_id, depth, n_descendants, lo, hi, on_loop`` and, on request,
     ``path`` (ids from the root to the node). lo numbers the nodes of all trees in preorder. For
     a node on a loop or below one, root_id is the smallest id of that loop, depth is -1, on_loop
-    tells which of both it is, and the other columns are null. Runs jobs while the plan is built.
+    tells which of both it is, and the other columns are null. With ``off_loops`` the nodes on loops
+    are left out and each subtree that hangs off a loop is a tree of its own: the first node below
+    the loop is its root. Runs jobs while the plan is built.
     """
     raw, n = cut_counted(
         links.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{parent_col}`").cast("long").alias("p"))
@@ -82,6 +84,8 @@ def hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "parent",
             break
         live = now
     trees = state.where("j IS NULL")
+    if live and off_loops:
+        trees, live = trees.unionByName(_below_loops(state, n)), 0
 
     # a root is taken for a child of one node above all, -1 standing for it here only
     kids = trees.select("id", "parent", "size", F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS * 64)).cast("int").alias("b"))
@@ -208,15 +212,15 @@ def descendants(tree: DataFrame, of: DataFrame, id_col: str = "id") -> DataFrame
     return a.join(d, ["step", "block"]).select("ancestor_id", "descendant_id", (F.col("depth") - F.col("_d")).alias("steps"))
 
 
-def loops_cut(tree: DataFrame) -> DataFrame:
-    """A hierarchy without its loop nodes: each subtree that hangs off a loop is a tree of its own.
+def _below_loops(state: DataFrame, n: int) -> DataFrame:
+    """The rows of the nodes below loops with whole sizes; those whose parent is on a loop become roots.
 
-    The first node below a loop becomes a root (parent null, depth 0) with its finite subtree
-    numbered as any other; of a hierarchy without loops nothing changes. The path is left out.
+    A node's size is whole once its reach covers what hangs below it, so the rounds go on until the
+    jump of every such node lands on a loop. Sizes of nodes on loops mean nothing and are left out.
     """
-    cols = [c for c in tree.columns if c != "path"]
-    # parents on the loop are no ids of these links, so their children count as roots
-    below = hierarchy(tree.where("depth < 0 AND NOT on_loop").select("id", "parent_id"), "id", "parent_id")
-    trees = tree.where("depth >= 0").select(*cols)
-    shift = below.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("_shift"))  # the ranges go on from one another
-    return below.select(*cols).unionByName(trees.join(F.broadcast(shift)).withColumn("lo", F.col("lo") + F.col("_shift")).withColumn("hi", F.col("hi") + F.col("_shift")).select(*cols))
+    ring = cut(_loops(state.where("j IS NOT NULL").select("id", "parent"), n).where("on_loop").select("id"))
+    off = lambda s: s.where("j IS NOT NULL").join(ring, "id", "left_anti")
+    while off(state).join(ring.select(F.col("id").alias("j")), "j", "left_anti").limit(1).count():
+        state = cut(_grown(state, n))
+    first = ring.select(F.col("id").alias("parent"), F.lit(True).alias("_first"))
+    return off(state).join(first, "parent", "left").select("id", F.when(F.col("_first").isNull(), F.col("parent")).alias("parent"), "j", "size")

@@ -36,7 +36,7 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All terms below every term; subtrees that hang off a loop are trees of their own."""
-    t = cut(H.loops_cut(_tree(spark, d)))
+    t = cut(H.hierarchy(T.term_parents(table(spark, d, "thesaurus")), "term_id", "parent_id", off_loops=True))
     return H.descendants(t, t)
 
 
