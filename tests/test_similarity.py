@@ -37,7 +37,7 @@ def test_answers_score_every_pair_and_keep_the_best(spark, monkeypatch):
     assert S.answers(df, df.where("id < 0"), ["ws"], score).count() == 0
 
 
-@pytest.mark.parametrize("name", ["similar_word_sets", "hybrid_related"])
+@pytest.mark.parametrize("name", ["similar_word_sets", "hybrid_related", "integration_candidates"])
 def test_no_pair_is_moved(spark, name):
     """The plan joins nothing per pair: only what is given out leaves the tasks that score."""
     plan = __import__("__spark_entry__").queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
