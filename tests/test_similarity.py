@@ -42,3 +42,36 @@ def test_no_pair_is_moved(spark, name):
     """The plan joins nothing per pair: only what is given out leaves the tasks that score."""
     plan = __import__("__spark_entry__").queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "MapInPandas" in plan
+
+
+@pytest.mark.parametrize("held", [S.PASS, 300])
+def test_hybrid_related_answers_every_article(spark, tmp_path, monkeypatch, held):
+    """Every article has its five best, as all pairs in plain Python give them: ties, no tags, no title, a tag of most rows; one pass and several."""
+    monkeypatch.setattr(S, "PASS", held)
+    monkeypatch.setattr(S, "SEEDS", 6)
+    r = random.Random(3)
+    tags, words = [f"t{i}" for i in range(9)], ["red", "green", "blue", "old", "new"]
+    data = []
+    for i in range(1, 141):
+        own = None if i % 11 == 0 else sorted({*r.sample(tags, r.randrange(4)), *(["hot"] if i % 3 else [])})
+        title = None if i % 13 == 0 else " ".join(r.sample(words, r.randrange(1, 4)))
+        data.append((i, own or [], title or "", r.choice("ab"), r.choice("xyz")))
+    rows = spark.createDataFrame([(i, t, w.split(), ord(c), ord(u)) for i, t, w, c, u in data], "id long, tags array<string>, ws array<string>, category long, subcategory long")
+    rows = rows.select("id", S.hashed(F.col("tags")).alias("tags"), S.hashed(F.col("ws")).alias("ws"), "category", "subcategory")
+    want = []
+    for i, t, w, c, u in data:
+        found = []
+        for j, t2, w2, c2, u2 in data:
+            a, b, x, y = set(t), set(t2), set(w.split()), set(w2.split())
+            if i != j and (a & b or x & y):
+                found.append((-round(0.5 * len(a & b) / max(len(a | b), 1) + 0.3 * len(x & y) / max(len(x | y), 1) + 0.2 * min(1, (c == c2) + 0.5 * (u == u2)), 6), j))
+        want += [(i, j, -s, k) for k, (s, j) in enumerate(sorted(found)[:5], 1)]
+    assert sorted(tuple(x) for x in S.related(rows, 5).select("query_id", "id", "score", "rank").collect()) == sorted(want)
+    assert S.related(rows.where("id < 0"), 5).count() == 0
+
+
+def test_hybrid_related_leaves_no_article_out(spark):
+    """The query answers for ids that are not divisible by 100 too."""
+    e = __import__("__spark_entry__")
+    assert e.queries()["hybrid_related"](spark, "/root/testdata/sf0.001").where("query_id % 100 <> 0").count() > 0
+    assert "% 100" not in e.oracle_sql()["hybrid_related"]
